@@ -40,3 +40,10 @@ def materialise(df: DataFrame) -> DataFrame:
 def utf8(column: str) -> Column:
     """The text's UTF-8 bytes; null is empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches handed to Python hold at most `rows` rows, so that long texts fit; results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
