@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .sharding import shard_rows
+from .simhash import near_duplicates
 from .token_counts import token_counts
 from .url_filters import judge_urls
 
@@ -35,6 +36,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words_each=3)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_token_counts,
         op2_sharding,
         op3_url_filters,
+        op4_simhash,
         op9_best_fit_packing,
         op10_exact_dedup,
     )
