@@ -14,6 +14,7 @@ from .packing import pack
 from .sharding import shard_rows
 from .simhash import near_duplicates
 from .token_counts import token_counts
+from .toxicity import score_toxicity
 from .url_filters import judge_urls
 
 URL_RULES = [
@@ -41,6 +42,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words_each=3)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_sharding,
         op3_url_filters,
         op4_simhash,
+        op5_toxicity,
         op7_decontamination,
         op9_best_fit_packing,
         op10_exact_dedup,
