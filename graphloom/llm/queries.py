@@ -11,6 +11,7 @@ from .common import table
 from .decontamination import contamination_digest, find_contamination
 from .exact_dedup import exact_dedup
 from .packing import pack
+from .personal_data import find_personal_data, personal_data_digest
 from .sharding import shard_rows
 from .simhash import near_duplicates
 from .token_counts import token_counts
@@ -46,6 +47,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digest(find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_url_filters,
         op4_simhash,
         op5_toxicity,
+        op6_personal_data,
         op7_decontamination,
         op9_best_fit_packing,
         op10_exact_dedup,
