@@ -14,6 +14,7 @@ from .packing import pack
 from .personal_data import find_personal_data, personal_data_digest
 from .sharding import shard_rows
 from .simhash import near_duplicates
+from .suffix_dedup import repeated_passages
 from .token_counts import token_counts
 from .toxicity import score_toxicity
 from .url_filters import judge_urls
@@ -55,6 +56,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"), length=200)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_toxicity,
         op6_personal_data,
         op7_decontamination,
+        op8_suffix_dedup,
         op9_best_fit_packing,
         op10_exact_dedup,
     )
