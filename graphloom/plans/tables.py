@@ -1,0 +1,27 @@
+"""Reading tables and cutting lineage."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL: list[str] = []
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Written to the cluster's shared folder and read again; an own folder where none is configured."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="graphloom-"))
+        root = _LOCAL[0]
+    path = f"{root.rstrip('/')}/graphloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
