@@ -211,7 +211,7 @@ def page_components(pages: DataFrame, id_col: str = "page_id", html_col: str = "
                     out += [{"page_id": page, "idx": i, **c} for i, c in enumerate(found)] or [{"page_id": page, "error": "no components"}]
                 except Exception as e:  # noqa: BLE001  one bad page must not end the batch
                     out.append({"page_id": page, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(out, columns=names).astype({"idx": "Int32"})
+            yield pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype="Int32" if n == "idx" else object) for n in names})
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")).mapInPandas(rows, SCHEMA)
 

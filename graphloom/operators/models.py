@@ -145,9 +145,12 @@ def plan_questions(questions: DataFrame, generator: Generator, embedder: Embedde
     return kind.withColumn("embedding", vector)
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def nfkc(c: Column) -> Column:
+    @F.pandas_udf("string")
+    def fold(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return fold(c)
 
 
 def clean_ocr(c: Column) -> Column:
