@@ -47,3 +47,28 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= rows:
         spark.conf.set(name, str(rows))
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that an operator kept, all columns as they were.
+
+    `decided` has a row per row of `docs`: the id, `text_sha256` and `kept`. Rows are found again by id and
+    checksum. Where such a pair repeats (the same row given twice), one of its copies is chosen in a
+    branch of its own that reads nothing else.
+    """
+    sha = F.sha2(utf8(text_col), 256)
+    keys = materialise(
+        decided.groupBy(F.col(id_col).alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
+        .agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__copies"))
+        .where("__kept")
+    )
+
+    def found(which: str) -> DataFrame:
+        k = keys.where(which).select("__keep_id", "__keep_sha")
+        return docs.join(k, F.col("__keep_id").eqNullSafe(docs[id_col]) & (F.col("__keep_sha") == sha), "left_semi")
+
+    single = found("__copies = 1")
+    if keys.where("__copies > 1").isEmpty():
+        return single
+    repeated = found("__copies > 1").withColumn("__keep_sha", sha).dropDuplicates([id_col, "__keep_sha"]).drop("__keep_sha")
+    return single.unionByName(repeated)

@@ -15,14 +15,14 @@ What is sent to the tasks is the features with a weight, at most `max_features`.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialise, small_batches
 from .decontamination import words_of
 
 SEED = 7
@@ -53,22 +53,25 @@ class SeverityModel:
         return sum(map(known.__getitem__, words)) / (1 + len(words) / 100)
 
 
+def text_cells(words: list[bytes]) -> dict[bytes, float]:
+    """The features of a text and their values."""
+    counts: Counter[bytes] = Counter()
+    for w, c in Counter(words).items():
+        for f in features(w):
+            counts[f] += c
+    return {f: c / (1 + len(words) / 100) for f, c in counts.items()}
+
+
 def fit_severity(
-    words: list[list[bytes]], grades: np.ndarray, penalty: float = 1e-3, min_texts: int = 4, max_features: int = 200_000, rounds: int = 200
+    rows: np.ndarray, cols: np.ndarray, value: np.ndarray, grades: np.ndarray, names: list[bytes], penalty: float = 1e-3, rounds: int = 200
 ) -> SeverityModel:
     """Accelerated proximal gradient on the mean log-loss of all thresholds; thresholds are not penalised.
-    Without texts, or with one grade only, no feature has a weight and the thresholds give the base rates."""
-    levels = max(2, int(grades.max(initial=0)))
-    n = max(1, len(words))
-    bags = [Counter(f for w, c in Counter(own).items() for f in features(w) for _ in range(c)) for own in words]
-    seen = Counter(f for bag in bags for f in bag)
-    often = sorted((f for f, c in seen.items() if c >= min_texts), key=lambda f: (-seen[f], f))[:max_features]
-    column = {f: i for i, f in enumerate(often)}
-    cells = [(r, column[f], c / (1 + len(words[r]) / 100)) for r, bag in enumerate(bags) for f, c in bag.items() if f in column]
-    rows, cols = (np.array([x[i] for x in cells], np.int64) for i in (0, 1))
-    value = np.array([x[2] for x in cells], float)
+    Cells are (text, feature, value). Without texts, or with one grade only, no feature has a weight and
+    the thresholds give the base rates."""
+    levels, n, often = max(2, int(grades.max(initial=0))), max(1, len(grades)), names
+    value = value.astype(float)
     over = (grades[:, None] > np.arange(levels)[None, :]).astype(float)
-    rate = np.clip(over.sum(0) / n, 0.5 / n, 1 - 0.5 / n)
+    rate = np.clip(over.sum(0) / n, 0.5 / (n + 1), 1 - 0.5 / (n + 1))
     t, w = np.log((1 - rate) / rate), np.zeros(len(often))
     # columns are centred and scaled, so that steps can be long
     mean = np.bincount(cols, value, len(often)) / n
@@ -76,7 +79,7 @@ def fit_severity(
     value, mean = value * scale[cols], mean * scale
     step = 4.0 / (levels * _largest(rows, cols, value, mean, n, len(often)) + 4.0)
     look_w, look_t, old_w, old_t, momentum = w, t, w, t, 1.0
-    for _ in range(rounds if len(words) else 0):
+    for _ in range(rounds if len(grades) and grades.any() else 0):
         score = np.bincount(rows, value * look_w[cols], n) - mean @ look_w
         err = 1 / (1 + np.exp(np.clip(look_t[None, :] - score[:, None], -50, 50))) - over
         per = err.sum(1)
@@ -104,10 +107,18 @@ def _largest(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, centre: np.n
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, max_labels: int = 5000, id_col: str = "doc_id", text_col: str = "text", **how
+    docs: DataFrame,
+    labels: DataFrame,
+    max_labels: int = 5000,
+    min_texts: int = 4,
+    max_features: int = 100_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    **how,
 ) -> SeverityModel:
-    """Fits on at most `max_labels` labelled rows. A repeated label counts as its worst; rows without an id,
-    without a `toxic` label or without a document don't count; a null quality is a good one."""
+    """Fits on at most `max_labels` labelled rows and the `max_features` features that most of their texts
+    have (`min_texts` at least). A repeated label counts as its worst; rows without an id, without a
+    `toxic` label or without a document don't count; a null quality is a good one."""
     graded = (
         labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
         .groupBy(F.col(id_col).alias("_label"))
@@ -119,33 +130,63 @@ def train(
         F.broadcast(graded), F.col("_id") == F.col("_label")  # at most max_labels pairs of numbers
     )
 
-    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for text, row, grade in zip(pdf["_text"], pdf["_row"], pdf["_grade"]):
+                cells = text_cells(words_of(text.encode()))
+                # a cell without a feature stands for the text itself
+                yield pd.DataFrame({"_row": row, "_grade": grade, "_feature": [None, *cells], "_value": [0.0, *cells.values()]})
+
+    source = found.select(F.monotonically_increasing_id().alias("_row"), "_grade", "_text")
+    cells = materialise(source.mapInPandas(emit, "_row long, _grade int, _feature binary, _value double"))
+    texts = cells.where("_feature is null").select("_row", "_grade").orderBy("_row").toArrow()
+    ids, grades = texts["_row"].to_numpy(), texts["_grade"].to_numpy().astype(np.int64)
+    often = cells.where("_feature is not null").groupBy("_feature").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_texts)
+    names = [bytes(r[0]) for r in often.orderBy(F.desc("_n"), "_feature").limit(max_features).collect()]
+    column = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"_id": pdf["_label"].astype(str), "_grade": pdf["_grade"], "words": [sorted(words_of(t.encode())) for t in pdf["_text"]]})
+            at = np.array([column.value.get(f, -1) for f in pdf["_feature"]], np.int32)
+            keep = at >= 0
+            yield pd.DataFrame({"_row": pdf["_row"].to_numpy()[keep], "_col": at[keep], "_value": pdf["_value"].to_numpy()[keep]})
+
+    table = cells.where("_feature is not null").select("_row", "_feature", "_value").mapInPandas(number, "_row long, _col int, _value double").toArrow()
+    rows, cols, value = (table[c].to_numpy() for c in ("_row", "_col", "_value"))
+    order = np.lexsort((cols, rows))  # the sums, and so the model, don't depend on the order of arrival
+    return fit_severity(np.searchsorted(ids, rows[order]), cols[order].astype(np.int64), value[order], grades, names, **how)
+
 
-    rows = found.select("_label", "_grade", "_text").mapInPandas(bags, "_id string, _grade int, words array<binary>").collect()
-    rows = sorted(rows, key=lambda r: (r["_id"], r["words"]))[: 2 * max_labels]  # ids that repeat can add rows
-    return fit_severity([[bytes(w) for w in r["words"]] for r in rows], np.array([r["_grade"] for r in rows], np.int64), **how)
+def scorer(spark: SparkSession, model: SeverityModel) -> Callable[[Column], Column]:
+    """A function from a text column to a struct of `p_toxic`, `severity` and `grade`."""
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("p_toxic double, severity double, grade int")
+    def score(text: pd.Series) -> pd.DataFrame:
+        above = shared.value.above([t.encode() for t in text])
+        return pd.DataFrame({"p_toxic": above[:, 0], "severity": above.sum(1), "grade": (above >= 0.5).sum(1)})
+
+    return lambda text: score(F.coalesce(text, F.lit("")))
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, max_labels: int = 5000, reject_at: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **how
+    docs: DataFrame, labels: DataFrame, reject_at: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **how
 ) -> DataFrame:
     """One row per input row: the id, `p_toxic` (P(grade > 0)), `severity` (expected grade), `grade` (the
     largest k with P(grade >= k) >= 1/2) and `rejected` (p_toxic >= `reject_at`).
 
     A null or empty text has no words and gets the base rates.
     """
-    small_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_labels, id_col, text_col, **how))
-    slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    kind = slim.schema["_id"].dataType.simpleString()
+    score = scorer(docs.sparkSession, train(docs, labels, id_col=id_col, text_col=text_col, **how))
+    return (
+        docs.select(F.col(id_col).alias("_id"), score(F.col(text_col)).alias("_s"))
+        .select(F.col("_id").alias(id_col), "_s.*")
+        .withColumn("rejected", F.col("p_toxic") >= reject_at)
+    )
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            above = model.value.above([t.encode() for t in pdf["_text"]])
-            yield pd.DataFrame(
-                {"_id": pdf["_id"], "p_toxic": above[:, 0], "severity": above.sum(1), "grade": (above >= 0.5).sum(1), "rejected": above[:, 0] >= reject_at}
-            )
 
-    return slim.mapInPandas(scored, f"_id {kind}, p_toxic double, severity double, grade int, rejected boolean").withColumnRenamed("_id", id_col)
+def without_toxic(docs: DataFrame, labels: DataFrame, reject_at: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of `docs` that aren't rejected, all columns as they were; no shuffle."""
+    score = scorer(docs.sparkSession, train(docs, labels, id_col=id_col, text_col=text_col, **how))
+    return docs.where(score(docs[text_col])["p_toxic"] < reject_at)
