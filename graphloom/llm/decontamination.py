@@ -9,18 +9,17 @@ Burrows-Wheeler transform in a wavelet tree with rank counts, and suffix positio
 by walking to the next sampled position; their spans are merged per document.
 
 The windows are sent to all tasks in blocks of items of at most `block_bytes`; a larger benchmark
-takes several passes whose spans are merged, so no broadcast grows with it.
+is searched in several indexes whose spans are merged, so no broadcast grows with it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
@@ -184,82 +183,76 @@ def scan_shard(texts: list[bytes], windows: Windows) -> list[tuple[int, list[tup
     return out
 
 
-def find_contamination(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    width: int = WINDOW,
-    shard_bytes: int = 4 << 20,
-    block_bytes: int = 32 << 20,
-) -> DataFrame:
-    """One row per input row: the id, `n_words`, `spans` (merged half-open word spans that lie in
-    occurrences of a window) and `items` (ids of the items with occurring windows, as sorted strings).
-
-    A window is `width` consecutive words of an item; an item of fewer words is one window, one
-    without words has none. Null texts have no words; a null item id is named ''. Repeated items
-    count once. Without items no word is hit.
-    """
-    small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+def scanners(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, shard_bytes: int = 4 << 20, block_bytes: int = 32 << 20) -> list[Callable[[Column], Column]]:
+    """For each block of items a function from a text column to a struct of `n_words`, `spans` and `items`."""
+    spark = benchmark.sparkSession
+    small_batches(spark)
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")
     )
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     if total <= block_bytes:
-        return _scanned(slim.withColumn("_sha", F.lit("")), items.collect(), kind, width, shard_bytes).drop("_sha").withColumnRenamed("_id", id_col)
+        return [_scanner(spark, items.collect(), width, shard_bytes)]
     blocks = materialise(
         items.withColumn("_block", F.expr(f"cast(sum(octet_length(text) + 64) over (order by item, text) div {block_bytes} as int)"))
     )
-    slim = slim.withColumn("_sha", F.sha2(F.col("_text").cast("binary"), 256))  # equal texts, for the merge
     numbers = [r[0] for r in blocks.select("_block").distinct().orderBy("_block").collect()]
-    passes = [_scanned(slim, blocks.where(F.col("_block") == b).select("item", "text").collect(), kind, width, shard_bytes) for b in numbers]
-    found = (
-        reduce(DataFrame.unionByName, passes)
-        .groupBy("_id", "_sha")  # equal rows have equal findings
-        .agg(
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("_spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            (F.count(F.lit(1)) / len(numbers)).cast("int").alias("_copies"),
+    return [_scanner(spark, blocks.where(F.col("_block") == b).select("item", "text").collect(), width, shard_bytes) for b in numbers]
+
+
+def _scanner(spark: SparkSession, rows: list, width: int, shard_bytes: int) -> Callable[[Column], Column]:
+    windows = spark.sparkContext.broadcast(Windows([(r[0], r[1].encode()) for r in rows], width))
+
+    @F.pandas_udf("n_words long, spans array<struct<start:long,stop:long>>, items array<string>")
+    def scan(text: pd.Series) -> pd.DataFrame:
+        found: list = []
+        shard: list[bytes] = []
+        size = 0
+        for t in map(str.encode, text):
+            shard.append(t)
+            size += len(t)
+            if size >= shard_bytes:
+                found += scan_shard(shard, windows.value)
+                shard, size = [], 0
+        found += scan_shard(shard, windows.value)
+        return pd.DataFrame(
+            {
+                "n_words": [f[0] for f in found],
+                "spans": [[{"start": a, "stop": b} for a, b in f[1]] for f in found],
+                "items": [f[2] for f in found],
+            }
         )
-        .withColumn("spans", _merged_column("_spans"))
-    )
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(
-        F.col("_id").alias(id_col), "n_words", "spans", "items"
+
+    return lambda text: scan(F.coalesce(text, F.lit("")))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row per input row: the id, `n_words`, `spans` (merged half-open word spans that lie in
+    occurrences of a window) and `items` (ids of the items with occurring windows, as sorted strings).
+
+    A window is `width` consecutive words of an item; an item of fewer words is one window, one
+    without words has none. Null texts have no words; a null item id is named ''. Repeated items
+    count once. Without items no word is hit.
+    """
+    scans = scanners(benchmark, **how)
+    found = docs.select(F.col(id_col).alias("_id"), *(scan(F.col(text_col)).alias(f"_b{i}") for i, scan in enumerate(scans)))
+    if len(scans) == 1:
+        return found.select(F.col("_id").alias(id_col), "_b0.*")
+    every = [f"_b{i}" for i in range(len(scans))]
+    sorted_spans = found.withColumn("_spans", F.array_sort(F.concat(*(F.col(f"{b}.spans") for b in every))))
+    return sorted_spans.select(
+        F.col("_id").alias(id_col),
+        F.col("_b0.n_words").alias("n_words"),
+        _merged_column("_spans").alias("spans"),
+        F.array_sort(F.array_distinct(F.concat(*(F.col(f"{b}.items") for b in every)))).alias("items"),
     )
 
 
-def _scanned(slim: DataFrame, rows: list, kind: str, width: int, shard_bytes: int) -> DataFrame:
-    """One pass over the documents with the windows of one block of items."""
-    windows = slim.sparkSession.sparkContext.broadcast(Windows([(r[0], r[1].encode()) for r in rows], width))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found: list = []
-            shard: list[bytes] = []
-            size = 0
-            for t in map(str.encode, pdf["_text"]):
-                shard.append(t)
-                size += len(t)
-                if size >= shard_bytes:
-                    found += scan_shard(shard, windows.value)
-                    shard, size = [], 0
-            found += scan_shard(shard, windows.value)
-            yield pd.DataFrame(
-                {
-                    "_id": pdf["_id"],
-                    "_sha": pdf["_sha"],
-                    "n_words": [f[0] for f in found],
-                    "spans": [[{"start": a, "stop": b} for a, b in f[1]] for f in found],
-                    "items": [f[2] for f in found],
-                }
-            )
-
-    return slim.mapInPandas(scan, f"_id {kind}, _sha string, n_words long, spans array<struct<start:long,stop:long>>, items array<string>")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """The rows of `docs` without a hit word, all columns as they were; no shuffle."""
+    for scan in scanners(benchmark, **how):
+        docs = docs.where(F.size(scan(docs[text_col])["spans"]) == 0)
+    return docs
 
 
 def _merged_column(spans: str):

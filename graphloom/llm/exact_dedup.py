@@ -93,28 +93,3 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("_row") == F.col("_keep._row")).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
-
-
-def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that `exact_dedup` dropped, all columns as they were.
-
-    Rows are found by id and SHA-256. Only where such a pair repeats (the same row given twice)
-    one of the copies is chosen, in a branch of its own that reads nothing else.
-    """
-    sha = F.sha2(utf8(text_col), 256)
-    keys = (
-        decided.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-        .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_copies"))
-        .where("_kept")
-    )
-    keys = materialise(keys.select("_id", "_sha", "_copies"))
-
-    def found(which: str) -> DataFrame:
-        k = keys.where(which)
-        return docs.join(k, F.col("_id").eqNullSafe(docs[id_col]) & (F.col("_sha") == sha), "left_semi")
-
-    single = found("_copies = 1")
-    if keys.where("_copies > 1").isEmpty():
-        return single
-    repeated = found("_copies > 1").withColumn("_sha", sha).dropDuplicates([id_col, "_sha"]).drop("_sha")
-    return single.unionByName(repeated)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, small_batches, utf8
 from .components import connected_components
 
 SEED = 42
@@ -49,17 +49,19 @@ def fingerprint(text: bytes, words_each: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3) -> DataFrame:
-    """`_id` and `_fp` (the 64 bits as a long), one row per input row; null texts count as empty."""
+    """`_id`, `_fp` (the 64 bits as a long) and `_sha` (of the text), one row per input row; null texts count as empty."""
     small_batches(docs.sparkSession)
-    slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    slim = docs.select(
+        F.col(id_col).alias("_id"), F.sha2(utf8(text_col), 256).alias("_sha"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")
+    )
     kind = slim.schema["_id"].dataType.simpleString()
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             bits = np.array([fingerprint(t.encode(), words_each) for t in pdf["_text"]], np.uint64)
-            yield pd.DataFrame({"_id": pdf["_id"], "_fp": bits.view(np.int64)})
+            yield pd.DataFrame({"_id": pdf["_id"], "_sha": pdf["_sha"], "_fp": bits.view(np.int64)})
 
-    return slim.mapInPandas(hashed, f"_id {kind}, _fp long")
+    return slim.mapInPandas(hashed, f"_id {kind}, _sha string, _fp long")
 
 
 def _const(x: int) -> Column:
@@ -126,8 +128,8 @@ def near_duplicates(
     width: int = 4,
     dense: int = 16,
 ) -> DataFrame:
-    """One row per input row: the id, `fingerprint` (16 hex digits) and `component_id`, the smallest id
-    reached over links of at most 2 bits (its own without any).
+    """One row per input row: the id, `fingerprint` (16 hex digits), `component_id` (the smallest id reached
+    over links of at most 2 bits, its own without any) and `text_sha256`.
 
     Texts without words have fingerprint 0 and are linked like any other. A null id is never the
     smallest unless all ids of its component are null.
@@ -141,5 +143,15 @@ def near_duplicates(
     smallest = joined.groupBy("_root").agg(F.min("_least").alias("component_id"))
     named = joined.join(smallest, "_root").select("_fp", "component_id")
     return rows.join(named, "_fp").select(
-        F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("_sha").alias("text_sha256")
+    )
+
+
+def one_of_each(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """`found` with `kept`: of each component the row with the smallest id (of several, the smallest checksum)."""
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"))
+    # a component id names one component, but for ids that repeat; the fingerprint's own component is then kept too
+    first = found.groupBy(F.col("component_id").alias("_c")).agg(F.min(order).alias("_first"))
+    return found.join(first, F.col("component_id").eqNullSafe(F.col("_c"))).select(
+        *found.columns, (order == F.col("_first")).alias("kept")
     )
