@@ -10,41 +10,74 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable
+from functools import cache
 from typing import Any
 
+import numpy as np
+
+
+def id_bytes(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit numbers; `ends` are the places of the separators."""
+    raw, cuts = ids.astype("<u4").tobytes(), (ends * 4).tolist()
+    return [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])]
+
+
+def id_counts(ids: np.ndarray, ends: np.ndarray) -> list[int]:
+    return (np.diff(np.concatenate(([-1], ends, [len(ids)]))) - 1).tolist()
+
 
 class ChunkStore:
-    def __init__(self, path: str, value: Callable[[list[int]], Any], limit: int = 300_000, longest: int = 64) -> None:
+    """`value`: id_bytes or id_counts."""
+
+    def __init__(self, path: str, value: Callable[[np.ndarray, np.ndarray], list], limit: int = 500_000, longest: int = 64) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        self.separator = next(((i, t.content) for i, t in added.items() if not (t.lstrip or t.rstrip or t.normalized or t.single_word)), None)
         self.value, self.limit, self.longest = value, limit, longest
         self.young: dict = {}
         self.old: dict = {}
 
     def encode(self, texts: list[str]) -> list[Any]:
-        return [self.value(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """The values of whole texts. Many texts go through in one call, a special string between them:
+        special strings are found first, so what is between two of them is tokenised on its own."""
+        out: list[Any] = []
+        for at in range(0, len(texts), 5000):
+            part = texts[at : at + 5000]
+            if self.separator and not any(s in t for s in self.special for t in part):
+                ids = self._ids(self.separator[1].join(part))
+                out += self.value(ids, np.flatnonzero(ids == self.separator[0]))
+            else:
+                out += [self.value(self._ids(t), np.zeros(0, np.int64))[0] for t in part]
+        return out
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def lookup(self, wanted: set, text_of: Callable[[Any], str]) -> dict:
-        """The values of all `wanted` chunks; valid until the next call."""
+    def lookup(self, texts: list[list], text_of: Callable[[Any], str]) -> list[list]:
+        """The values of all chunks of some texts."""
         if len(self.young) > self.limit:
             self.young, self.old = {}, self.young
-        new = wanted.difference(self.young)
         young, old = self.young, self.old
-        if old:
-            young.update((c, old[c]) for c in new if c in old)
-            new = new.difference(young)
-        if not new:
-            return young
-        todo = list(new)
-        made: dict = {}
-        for at in range(0, len(todo), 20_000):
-            part = todo[at : at + 20_000]
-            made.update(zip(part, self.encode([text_of(c) for c in part])))
+        found = [list(map(young.get, chunks)) for chunks in texts]
+        short = [i for i, values in enumerate(found) if None in values]
+        new = {c for i in short for c, v in zip(texts[i], found[i]) if v is None}
+        made = {c: old[c] for c in new if c in old} if old else {}
+        todo = [c for c in new if c not in made]
+        made.update(zip(todo, self.encode([text_of(c) for c in todo])))
         young.update((c, v) for c, v in made.items() if len(c) <= self.longest)
-        long = {c: v for c, v in made.items() if len(c) > self.longest}
-        return young | long if long else young
+        for i in short:
+            found[i] = [made[c] if v is None else v for c, v in zip(texts[i], found[i])]
+        return found
+
+
+@cache
+def shared_store(path: str, value: Callable[[np.ndarray, np.ndarray], list]) -> ChunkStore:
+    """One store per Python worker: the vocabulary is loaded once, and later tasks find their chunks known."""
+    return ChunkStore(path, value)
 
 
 def space_chunks(text: str, special: Iterable[str] = ()) -> list[str]:

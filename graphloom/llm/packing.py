@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_tokens import ChunkStore, space_chunks
+from .chunk_tokens import id_bytes, shared_store, space_chunks
 from .common import materialise, small_batches
 
 Pattern = tuple[int, list[tuple[int, int]]]  # repetitions, (length, how many in a bin)
@@ -80,15 +80,13 @@ def token_pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store = ChunkStore(vocabulary, lambda ids: np.array(ids, "<u4").tobytes())
-        special = [t.content for t in store.tokenizer.get_added_tokens_decoder().values()]
+        store = shared_store(vocabulary, id_bytes)
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for pdf in batches:
-            chunks = [space_chunks(t, special) for t in pdf["_text"]]
-            known = store.lookup(set().union(*chunks), str)
+            chunks = [space_chunks(t, store.special) for t in pdf["_text"]]
             rows = []
-            for doc, parts in zip(pdf["_id"], chunks):
-                ids = b"".join(map(known.__getitem__, parts)) + end
+            for doc, parts in zip(pdf["_id"], store.lookup(chunks, str)):
+                ids = b"".join(parts) + end
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n, capacity), n] if n > capacity else [0, n]
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:])):

@@ -21,25 +21,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_tokens import ChunkStore
+from .chunk_tokens import id_counts, shared_store
 from .common import small_batches
 
 _CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
 class PrefixCounter:
-    def __init__(self, path: str, limit: int = 300_000) -> None:
-        self.store = ChunkStore(path, len, limit)
+    def __init__(self, path: str) -> None:
+        self.store = shared_store(path, id_counts)
         self.inner = lru_cache(4096)(self._inner)
 
     def counts(self, texts: list[bytes]) -> list[np.ndarray]:
         """For each UTF-8 text the counts at its chunk ends, beginning with 0."""
         parts = [t.split() for t in texts]
-        known = self.store.lookup(set().union(*parts), bytes.decode)
         out = []
-        for p in parts:
-            sums = np.zeros(len(p) + 1, np.int64)
-            np.cumsum(np.fromiter(map(known.__getitem__, p), np.int64, len(p)), out=sums[1:])
+        for own in self.store.lookup(parts, bytes.decode):
+            sums = np.zeros(len(own) + 1, np.int64)
+            np.cumsum(np.array(own, np.int64), out=sums[1:])
             out.append(sums)
         return out
 
