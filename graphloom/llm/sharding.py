@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, utf8
@@ -41,17 +41,18 @@ def _permuted(df: DataFrame, column: str, a: int, b: int, seed: int) -> DataFram
     return df.withColumn(column, F.col("_l") * b + F.col("_r")).drop("_l", "_r")
 
 
-def longest_walk(spark, n: int, seed: int) -> int:
-    """The number of passes after which every row is inside: the outside cells (fewer than sqrt(n))
-    are sent on until none is left outside."""
+def longest_walk(spark: SparkSession, n: int, seed: int) -> int:
+    """The number of passes after which every row is inside. The outside cells (fewer than sqrt(n)) are sent
+    on together: each chain of them that a row can enter loses one cell a pass, and when none is lost,
+    what is left are closed cycles, which no row enters."""
     a, b = rectangle(n)
-    outside, passes = spark.range(n, a * b).withColumnRenamed("id", "_p"), 1
-    while a * b > n:
+    outside, left, passes = spark.range(n, a * b).withColumnRenamed("id", "_p"), a * b - n, 1
+    while left:
         outside = materialise(_permuted(outside, "_p", a, b, seed).where(F.col("_p") >= n))
-        if outside.isEmpty():
+        passes, before, left = passes + 1, left, outside.count()
+        if left == before:
             break
-        passes += 1
-    return passes + (a * b > n)
+    return passes
 
 
 def permute(df: DataFrame, column: str, n: int, seed: int) -> DataFrame:
