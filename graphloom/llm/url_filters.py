@@ -141,9 +141,9 @@ def _by_ranges(parts: DataFrame, rules: DataFrame, id_col: str, default: str) ->
     keys = urls.select("_row", "host", "path").mapInPandas(keyed, "_row long, _key string")
     keys = materialise(keys.repartitionByRange("_key", F.xxhash64("_row")).withColumn("_part", F.spark_partition_id()))
     spans = keys.groupBy("_part").agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi"))  # a row per partition
-    met = rules.mapInPandas(ruled, "r_host string, r_path string, r_verdict string, _key string").join(
+    met = materialise(rules.mapInPandas(ruled, "r_host string, r_path string, r_verdict string, _key string").join(
         F.broadcast(spans), (F.col("_key") <= F.col("_hi")) & (F.concat("_key", F.lit(TOP)) >= F.col("_lo"))
-    )
+    ).select("r_host", "r_path", "r_verdict", F.col("_key"), F.col("_part")))
 
     def swept(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         rows = list(zip(theirs["r_verdict"], theirs["r_host"], theirs["r_path"]))
