@@ -60,19 +60,12 @@ class PrefixCounter:
         if len(chunk) <= 256:
             inner = self.inner(chunk)
             return max(i for i, n in enumerate(inner) if n <= budget)
-        # a chunk without white space of any length: a token covers `span` characters at most, so only
-        # prefixes up to budget * span can fit; they are tried from there in blocks
-        top = min(len(chunk), (budget + 1) * self.span)
-        for hi in range(top, 0, -256):
-            lens = range(max(1, hi - 255), hi + 1)
-            fit = [n for n, c in zip(lens, self.store.encode([chunk[:n] for n in lens])) if c <= budget]
-            if fit:
-                return max(fit)
-        return 0
-
-    @property
-    def span(self) -> int:
-        return max(map(len, self.store.tokenizer.get_vocab()))
+        # a run of any length: cut where its own tokens end, and check that the cut changed none of them
+        ends = [end for _, end in self.store.tokenizer.encode(chunk, add_special_tokens=False).offsets]
+        k = min(budget, len(ends))
+        while k > 0 and self.store.encode([chunk[: ends[k - 1]]])[0] > budget:
+            k -= 1
+        return ends[k - 1] if k > 0 else 0
 
     def count(self, text: str, sums: np.ndarray, prefix: int) -> int:
         """Tokens of the first `prefix` characters."""
@@ -92,7 +85,8 @@ def token_counts(
     with_table: bool = False,
 ) -> DataFrame:
     """One row per input row: the id, `n_bytes`, `n_tokens`, `over_limit` and `fit_chars` (characters of
-    the longest prefix of at most `limit` tokens; the whole text if it fits).
+    the longest prefix of at most `limit` tokens; the whole text if it fits; a cut inside a run of over
+    256 characters without white space is at one of the run's own token ends).
 
     `vocabulary`: a tokenizers JSON file that every executor can open. `with_table` adds
     `prefix_tokens`, the counts at the chunk ends. Null is empty: no bytes, no tokens. One text is one
