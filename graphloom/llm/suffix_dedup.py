@@ -250,7 +250,7 @@ def repeated_passages(
     length: int = 200,
     id_col: str = "doc_id",
     text_col: str = "text",
-    shard_bytes: int = 4 << 20,
+    shard_bytes: int = 2 << 20,
     hot_segments: int = 5000,
 ) -> DataFrame:
     """One row per input row: the id, `n_bytes`, `n_removed`, `n_spans` and `kept_sha256`.
@@ -279,8 +279,9 @@ def repeated_passages(
         .select("_name")
     )
     wanted = named.select("_key", "_name").join(repeated, "_name").groupBy("_key").agg(F.collect_set("_name").alias("_names"))  # of one text
-    texts = long_ones.groupBy("_sha").agg(F.first("_key").alias("_key"), F.first("_text").alias("_text"))
-    texts = materialise(texts.join(wanted, "_key").select("_sha", "_text", "_names"))
+    # names are brought under the texts' own checksums, so that texts are shuffled once only
+    wanted = wanted.join(long_ones.select("_key", "_sha").distinct(), "_key").select("_sha", "_names")
+    texts = materialise(long_ones.groupBy("_sha").agg(F.first("_text").alias("_text")).join(wanted, "_sha"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
