@@ -127,9 +127,11 @@ def near_duplicates(
     words_each: int = 3,
     width: int = 4,
     dense: int = 16,
+    with_root: bool = False,
 ) -> DataFrame:
     """One row per input row: the id, `fingerprint` (16 hex digits), `component_id` (the smallest id reached
-    over links of at most 2 bits, its own without any) and `text_sha256`.
+    over links of at most 2 bits, its own without any) and `text_sha256`. `with_root` adds `_root`, the
+    smallest fingerprint of the component, which names it whatever its ids are.
 
     Texts without words have fingerprint 0 and are linked like any other. A null id is never the
     smallest unless all ids of its component are null.
@@ -141,17 +143,19 @@ def near_duplicates(
         points.join(roots, points["_fp"] == roots["node"], "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
     )
     smallest = joined.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = joined.join(smallest, "_root").select("_fp", "component_id")
+    named = joined.join(smallest, "_root").select("_fp", "_root", "component_id")
     return rows.join(named, "_fp").select(
-        F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("_sha").alias("text_sha256")
+        F.col("_id").alias(id_col),
+        F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+        F.col("_sha").alias("text_sha256"),
+        *["_root"] * with_root,
     )
 
 
 def one_of_each(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """`found` with `kept`: of each component the row with the smallest id (of several, the smallest checksum)."""
+    """`found` with `kept`: of each `_root` the row with the smallest id (of several, the smallest checksum)."""
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"))
-    # a component id names one component, but for ids that repeat; the fingerprint's own component is then kept too
-    first = found.groupBy(F.col("component_id").alias("_c")).agg(F.min(order).alias("_first"))
-    return found.join(first, F.col("component_id").eqNullSafe(F.col("_c"))).select(
-        *found.columns, (order == F.col("_first")).alias("kept")
-    )
+    # ids can be null or repeat, so they don't name a component
+    first = found.groupBy("_root").agg(F.min(order).alias("_first"))
+    return found.join(first, "_root").select(*found.columns, order.eqNullSafe(F.col("_first")).alias("kept"))

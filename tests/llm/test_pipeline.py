@@ -35,3 +35,11 @@ def test_a_row_given_twice_stays_once(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, __keep_sha string")
     kept = keep_rows(docs.drop("__keep_sha"), exact_dedup(docs)).collect()
     assert Counter((r.doc_id, r.text) for r in kept) == Counter([(2, "a"), (None, "b"), (4, "")])
+
+
+def test_near_stage_keeps_unrelated_rows_with_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (6, text(3)), (6, text(4)), (None, text(5)), (7, text(5).upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near(spark, docs, SF).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([*rows[:5], rows[6]])
