@@ -88,9 +88,7 @@ _M = """
 
 
 def _all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, subs = fixtures.sub_queries(spark, sf_dir), fixtures.sub_vectors(spark, sf_dir)
-    near = dense_topk(fixtures.questions(spark, sf_dir), fixtures.components(spark, sf_dir), 2048)
-    return graph.scores(near, subs, asked)
+    return graph.all_scores(fixtures.sub_vectors(spark, sf_dir), fixtures.sub_queries(spark, sf_dir))
 
 
 @query(f"WITH {_M} SELECT qid, component_id, round(s, 6) AS score FROM m")

@@ -75,3 +75,22 @@ def test_page_components(spark):
     assert rows[0].paragraph == "One link bold" and rows[0].edge == ["Foo_Bar"] and rows[1].paragraph == "- x\n- y\n"
     assert rows[2].table == [["h", "v [[https://commons.wikimedia.org/wiki/Special:FilePath/P q.png]]"]]
     assert rows[3].caption == "cap" and rows[4].paragraph == "two" and rows[5].error == "no components"
+
+
+def test_every_component_of_a_large_table_is_scored(spark, tmp_path):
+    rnd = random.Random(3)
+    n = 2100  # more than the dense prefilter of the entry
+    vecs = [[rnd.gauss(0, 1) for _ in range(64)] for _ in range(n)]
+    rows = [(i, v, 0) for i, v in enumerate(vecs)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.qid, r.component_id): r.score for r in queries.maxsim_single(spark, str(tmp_path)).collect()}
+    asked = range(0, n, 50)
+    assert set(got) == {(q, c) for q in asked for c in range(n)}
+    parts = lambda i: [vecs[i][k : k + 16] for k in range(0, 64, 16)]
+    for q, c in [(0, 7), (50, 2099), (2050, 0)]:
+        want = sum(max(sum(x * y for x, y in zip(a, b)) for b in parts(c)) for a in parts(q))
+        assert abs(got[q, c] - want) < 1e-4
+    pairs = {(r.qid, r.lo, r.hi) for r in queries.maxsim_pair(spark, str(tmp_path)).collect()}
+    assert pairs == {(q, c, c + 1) for q in asked for c in range(n - 1)}
+    several = graph.all_scores(queries.fixtures.sub_vectors(spark, str(tmp_path)), queries.fixtures.sub_queries(spark, str(tmp_path)), block=5)
+    assert several.select("qid", "component_id").distinct().count() == several.count() == len(got)
