@@ -161,13 +161,15 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     """For each place the bytes it shares with its predecessor in `order`, up to `most`.
 
     In text order, a place whose predecessor is one right of the predecessor before shares one byte
-    less than the place before (Kasai); only where that chain breaks bytes are compared, 8 at a time.
+    less than the place before (Kasai); where that chain breaks, and behind a place that shares no byte
+    (its neighbours in the order begin with different bytes, which says nothing of the next place),
+    bytes are compared, 8 at a time.
     """
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     chained = np.zeros(n, bool)
-    chained[1:] = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0)
+    chained[1:] = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0) & (data[:-1] == data[before[:-1]])
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     # a chain's length is found once, at its head; its members lose a byte each
     heads = np.flatnonzero(~chained & (before >= 0))

@@ -21,7 +21,7 @@ from graphloom.llm.packing import fullest, pack, plan_bins
 from graphloom.llm.personal_data import find_personal_data, personal_data_digest, score_graph
 from graphloom.llm.sharding import longest_walk, numbered, permute, rectangle, shard_rows
 from graphloom.llm.simhash import near_duplicates
-from graphloom.llm.suffix_dedup import common_prefixes, repeated_passages, suffix_order
+from graphloom.llm.suffix_dedup import common_prefixes, repeated_passages, repeated_windows, suffix_order
 from graphloom.llm.token_counts import PrefixCounter, token_counts
 from graphloom.llm.toxicity import score_toxicity, without_toxic
 from graphloom.llm.url_filters import judge_urls, sweep
@@ -340,6 +340,15 @@ def test_repeated_passages(spark, how):
         assert tuple(r)[1:] == (len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_copies_behind_different_bytes_are_found():
+    rnd = random.Random(11)
+    copy = bytes(rnd.choice(b"abcdefgh") for _ in range(241))
+    for first, second in ((b"Q", b"R"), (b"R", b"Q")):
+        hits = repeated_windows([b"z" * 9 + first + copy, second + copy], 200)
+        assert hits[0].tolist() == [False] * 10 + [True] * 42 + [False] * 199
+        assert hits[1].tolist() == [False] + [True] * 42 + [False] * 199
+
+
 def test_bins():
     left = np.zeros(11, np.int64)
     left[[3, 4, 9]] = [2, 1, 1]
