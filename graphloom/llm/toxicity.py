@@ -123,6 +123,7 @@ def train(
         labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
         .groupBy(F.col(id_col).alias("_label"))
         .agg(F.max(F.when(F.col("toxic") == 0, 0).when(F.coalesce("quality", F.lit(1)) == 0, 2).otherwise(1)).alias("_grade"))
+        .join(docs.select(F.col(id_col).alias("_label")), "_label", "left_semi")
         .orderBy(F.xxhash64(F.lit(SEED), "_label"), "_label")
         .limit(max_labels)
     )

@@ -233,6 +233,13 @@ def test_toxicity_on_held_out_rows(spark):
     assert left.columns == d.columns and left.count() == 600 - score_toxicity(d, m).where("rejected").count()
 
 
+def test_labels_without_a_document_leave_the_sample_to_others(spark):
+    docs = spark.createDataFrame([(i, "zonk word" if i % 2 else "plain word") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(4000)], "doc_id long, quality int, toxic int")
+    rows = score_toxicity(docs, labels, max_labels=40).collect()
+    assert all(r.rejected == bool(r.doc_id % 2) for r in rows)
+
+
 def _base_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
