@@ -307,6 +307,12 @@ def normalized_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", T.normalize_answer(F.col("text")).alias("answer"))
 
 
+@query()
+def normalized_answers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row; `normalized_answers` has those on which DuckDB's patterns agree with the operator."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_answer(F.col("text")).alias("answer"))
+
+
 # ---------------------------------------------------------------- evaluation
 
 _ANSWER = "CASE WHEN quality = 1 THEN 'x f_answers([\"good\", ''doc ' || toxic || ''']) y' ELSE ' Plain ' END"

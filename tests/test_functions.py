@@ -87,3 +87,21 @@ def test_fetch_falls_back(spark):
 
     rows = models.fetched(spark.createDataFrame([("x",)], "url string"), Some(), ("a:{url}", "b:{url}")).collect()
     assert bytes(rows[0].content) == b"b:x" and rows[0].error is None
+
+
+def test_answers_of_all_conversations_against_python(spark):
+    import re
+    import string
+
+    from graphloom.plans import queries
+
+    def brute(text):
+        bare = "".join(c for c in text.lower() if c not in string.punctuation)
+        return " ".join(re.sub(r"\b(a|an|the)\b", " ", bare).split())
+
+    sf = "/root/testdata/sf0.01"
+    want = [(r.conv_id, r.turn, None if r.text is None else brute(r.text)) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()]
+    got = [tuple(r) for r in queries.normalized_answers_all(spark, sf).collect()]
+    assert len(got) > queries.normalized_answers(spark, sf).count()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(got, key=key) == sorted(want, key=key)
