@@ -11,7 +11,9 @@ further encoding of the text.
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,16 +23,133 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_tokens import id_counts, shared_store
+from .chunk_tokens import ChunkStore, id_counts, shared_store
 from .common import small_batches
 
 _CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
+class WordCounts:
+    """Token counts of all prefixes of one pre-token, of any length.
+
+    Symbols are bytes, the last one with the vocabulary's end of word. A row of tokens is what the merges
+    give exactly if each two neighbours stay apart when they are merged alone, so the last token of a
+    prefix is the one that fits behind the last token of what is in front of it.
+    """
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.end = model["end_of_word_suffix"] or ""
+        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
+        self.vocab = model["vocab"]
+        self.longest = max(map(len, self.vocab))
+        self.apart = lru_cache(1 << 18)(self._apart)
+
+    def _merge(self, symbols: list[str]) -> list[str]:
+        while len(symbols) > 1:
+            rank, i = min((self.ranks.get(p, len(self.ranks)), i) for i, p in enumerate(zip(symbols, symbols[1:])))
+            if rank == len(self.ranks):
+                break
+            symbols = [*symbols[:i], symbols[i] + symbols[i + 1], *symbols[i + 2 :]]
+        return symbols
+
+    def _apart(self, left: str, right: str, last: bool) -> bool:
+        symbols = [*left, *right]
+        if last:
+            symbols[-1] += self.end
+        return self._merge(symbols) == ([left] if left else []) + [right + self.end * last]
+
+    def counts(self, word: str, budget: int) -> list[int]:
+        """The counts of the prefixes, from the empty one on, as far as `budget` tokens can reach."""
+        inner, token, out = [0], [""], [0]  # of a prefix that goes on; its last token; of a prefix that ends
+        for p in range(1, len(word) + 1):
+            for last, into in ((False, inner), (True, out)):
+                for q in range(p - 1, max(-1, p - self.longest - 1), -1):
+                    own = word[q:p]
+                    if own + self.end * last in self.vocab and self.apart(token[q], own, last):
+                        into.append(inner[q] + 1)
+                        break
+                else:
+                    raise ValueError("the vocabulary lacks a byte")
+                if not last:
+                    token.append(own)
+            if min(inner[-self.longest :]) >= budget:  # all that follows has more
+                break
+        return out
+
+
+def _clusters(text: str) -> list[str]:
+    """The text's characters, each with those behind it that compose with it."""
+    if unicodedata.is_normalized("NFC", text):
+        return list(text)
+    out: list[str] = []
+    for c in text:
+        if out and unicodedata.normalize("NFC", out[-1] + c) != unicodedata.normalize("NFC", out[-1]) + unicodedata.normalize("NFC", c):
+            out[-1] += c
+        elif out and unicodedata.combining(c):
+            out[-1] += c
+        else:
+            out.append(c)
+    return out
+
+
+def longest_fit(store: ChunkStore, words: WordCounts, chunk: str, budget: int) -> int:
+    """Characters of the longest prefix of at most `budget` tokens, of a chunk that has more.
+
+    Only the pre-token in which the budget ends needs counts of its own prefixes.
+    """
+    done, at, before = 0, 0, (0, 0)  # tokens and characters in front of a part; the same of the part before
+    for part in re.split("(" + "|".join(map(re.escape, sorted(store.special, key=len, reverse=True))) + ")", chunk) if store.special else [chunk]:
+        n = store.encode([part])[0]
+        if done + n <= budget:
+            before, done, at = (done, at), done + n, at + len(part)
+            continue
+        if part not in store.special:
+            return at + _fit_plain(store, words, part, budget - done)
+        # a special string that is cut belongs to the text in front of it
+        cuts = range(at + len(part) - 1, at, -1)
+        return next((i for i in cuts if before[0] + store.encode([chunk[before[1] : i]])[0] <= budget), at)
+    return len(chunk)
+
+
+def _fit_plain(store: ChunkStore, words: WordCounts, part: str, budget: int) -> int:
+    tokenizer, clusters = store.tokenizer, _clusters(part)
+    # of each cluster where it ends in the text and in the normalised text
+    plain = [tokenizer.normalizer.normalize_str(c) for c in clusters]
+    text = "".join(plain)
+    stops, ends = np.cumsum([len(c) for c in clusters]).tolist(), np.cumsum([len(c) for c in plain]).tolist()
+    done = 0
+    for mapped, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text):
+        n = len(tokenizer.model.tokenize(mapped))
+        if done + n <= budget:
+            done += n
+            continue
+        table, size, seen = words.counts(mapped, budget - done), 0, a
+        k = bisect_right(ends, a)
+        best = start = stops[k] - len(clusters[k])
+        for k in range(k, len(ends)):
+            stop = stops[k] - len(clusters[k])
+            for i in range(stop + 1, stops[k]):  # inside a cluster
+                if store.encode([part[start:i]])[0] <= budget - done:
+                    best = i
+            size += len(text[seen : ends[k]].encode())
+            seen = ends[k]
+            if seen > b or size >= len(table):
+                break
+            # a contraction that is cut is two pre-tokens
+            head = store.encode([text[a:seen]])[0] if size <= 4 and seen < b else table[size]
+            if head <= budget - done:
+                best = stops[k]
+        return best
+    return len(part)
+
+
 class PrefixCounter:
     def __init__(self, path: str) -> None:
         self.store = shared_store(path, id_counts)
         self.inner = lru_cache(4096)(self._inner)
+        self.merged = WordCounts(path)
 
     def counts(self, texts: list[bytes]) -> list[np.ndarray]:
         """For each UTF-8 text the counts at its chunk ends, beginning with 0."""
@@ -60,12 +179,7 @@ class PrefixCounter:
         if len(chunk) <= 256:
             inner = self.inner(chunk)
             return max(i for i, n in enumerate(inner) if n <= budget)
-        # a run of any length: cut where its own tokens end, and check that the cut changed none of them
-        ends = [end for _, end in self.store.tokenizer.encode(chunk, add_special_tokens=False).offsets]
-        k = min(budget, len(ends))
-        while k > 0 and self.store.encode([chunk[: ends[k - 1]]])[0] > budget:
-            k -= 1
-        return ends[k - 1] if k > 0 else 0
+        return longest_fit(self.store, self.merged, chunk, budget)
 
     def count(self, text: str, sums: np.ndarray, prefix: int) -> int:
         """Tokens of the first `prefix` characters."""
@@ -85,8 +199,7 @@ def token_counts(
     with_table: bool = False,
 ) -> DataFrame:
     """One row per input row: the id, `n_bytes`, `n_tokens`, `over_limit` and `fit_chars` (characters of
-    the longest prefix of at most `limit` tokens; the whole text if it fits; a cut inside a run of over
-    256 characters without white space is at one of the run's own token ends).
+    the longest prefix of at most `limit` tokens; the whole text if it fits).
 
     `vocabulary`: a tokenizers JSON file that every executor can open. `with_table` adds
     `prefix_tokens`, the counts at the chunk ends. Null is empty: no bytes, no tokens. One text is one

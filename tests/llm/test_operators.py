@@ -115,6 +115,21 @@ def test_token_counts_of_a_text_without_white_space(spark):
     assert len(words.encode(("ab" * 5000)[: row.fit_chars], add_special_tokens=False).ids) <= 50 and row.fit_chars > 0
 
 
+def test_long_runs_are_cut_at_the_longest_prefix():
+    rnd = random.Random(14)
+    words, counter = Tokenizer.from_file(WORDS), PrefixCounter(WORDS)
+    syllables = ["in", "the", "an", "tion", "qu", "ist", "z", "ver", "É", "ß", "中", "er"]
+    runs = ["".join(rnd.choice(syllables) for _ in range(150)) for _ in range(2)]
+    runs += ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300)), "".join(rnd.choice(["don't", "a1", "..", "İ", "it's", "w'reb", "\u00a0"]) for _ in range(120))]
+    runs += ["x" * 300, "e\u0301" * 140, "<|endoftext|>ab" * 20]
+    for t in runs:
+        assert len(t) > 256
+        each = [len(words.encode(t[:p], add_special_tokens=False).ids) for p in range(len(t) + 1)]
+        sums = counter.counts([t.encode()])[0]
+        for budget in range(0, each[-1], 3):
+            assert counter.longest_prefix(t, sums, budget) == max(p for p, n in enumerate(each) if n <= budget), (t, budget)
+
+
 def test_id_counts_with_separators():
     assert id_counts(np.array([9, 1, 2, 9, 9, 3]), np.array([0, 3, 4])) == [0, 2, 0, 1]
 
