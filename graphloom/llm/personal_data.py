@@ -5,8 +5,8 @@ two control characters, the text is split there, and running sums of the part le
 per document and kind are the positions.
 
 The base spans are the seeds of a bootstrap. The word in front of a seed is a lexical pattern; the
-instances of a pattern are the seeds and the other identifier-like tokens (at most `LONGEST`
-characters, with a digit, outside base spans) that follow it anywhere. Patterns and instances form a
+instances of a pattern are the seeds and the other identifier-like tokens (with a digit,
+outside base spans) that follow it anywhere. Patterns and instances form a
 graph that is scored in rounds: a pattern's confidence is the mean score of its distinct instances,
 if at least `min_seeds` different seeds support it; an instance that isn't a seed scores the chance
 that not all of its patterns fail, 1 - prod(1 - confidence). Tokens whose score reaches `accept`, behind a
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 KINDS = ["email", "ip", "card", "phone", "found"]
-LONGEST = 64
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: The kinds' patterns, each in a form whose matching takes linear time and no recursion: possessive where
 #: nothing that follows could need a character back, and starting only where a leftmost match can start.
@@ -53,7 +52,7 @@ def _parts(kind: str) -> Column:
     even part is the word that ends it. Empty without a match."""
 
     def part(p: Column, i: Column) -> Column:
-        word = F.lower(F.regexp_extract(F.right(p, F.lit(LONGEST)), r"(\S++)\s*+$", 1))
+        word = F.lower(F.regexp_extract(p, r"(?<!\S)(\S++)\s*+$", 1))
         return F.struct(
             F.lit(KINDS.index(kind)).alias("k"), i.alias("i"), F.length(p).cast("long").alias("n"), F.when(i % 2 == 1, p).otherwise(word).alias("v")
         )
@@ -130,7 +129,7 @@ def _candidates(placed: DataFrame) -> DataFrame:
             "left",
             "seed",
         )
-        .where(F.col("seed") | F.length("value").between(1, LONGEST))
+        .where(F.col("seed") | (F.length("value") > 0))
     )
 
 

@@ -283,6 +283,14 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[20] == "found:11:25" and got[21] == ""
 
 
+def test_long_tokens_and_words_are_found(spark):
+    front = "m" * 70
+    rows = [(i, f"please reach {front} user{i}@mail.example now") for i in range(9)]
+    rows += [(20, f"my {front} {'k7' * 60} ok"), (21, f"my {front}{' ' * 80}user77(at)mail ok"), (22, f"my x{front} user78(at)mail")]
+    got = {r.doc_id: r.spans for r in personal_data_digest(find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert (got[20], got[21], got[22]) == ("found:74:194", "found:153:167", "")
+
+
 def test_linear_time_on_hostile_texts(spark):
     texts = ["9" * 50000, "a." * 20000 + "@b" + ".c" * 20000, "1 " * 30000, "+1" + "(" * 50000, "1." * 30000, "x@y.z " * 3000]
     rows = personal_data_digest(find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
