@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares; only where none is configured (tests, one machine) an own one."""
+    """The folder the cluster shares; only where none is configured on one machine (tests) an own one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL_DIR:
         _LOCAL_DIR.append("file://" + tempfile.mkdtemp(prefix="graphloom-"))
     return _LOCAL_DIR[0]
@@ -49,26 +51,33 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores added until `df` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that an operator kept, all columns as they were.
 
-    `decided` has a row per row of `docs`: the id, `text_sha256` and `kept`. Rows are found again by id and
-    checksum. Where such a pair repeats (the same row given twice), one of its copies is chosen in a
-    branch of its own that reads nothing else.
+    `decided` has a row per row of `docs`: the id, `text_sha256` and `kept`. Rows are told by id and
+    checksum, and those that go are taken out, so that texts aren't shuffled for the many that stay. Where
+    such a pair repeats (the same row given twice) and stays, one of its copies is chosen in a branch of
+    its own that reads nothing else. Null ids and texts are told like any other; no row, no result.
     """
+    this_id, this_sha = free_name(docs, "_keep_id"), free_name(docs, "_keep_sha")
     sha = F.sha2(utf8(text_col), 256)
     keys = materialise(
-        decided.groupBy(F.col(id_col).alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
-        .agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__copies"))
-        .where("__kept")
+        decided.groupBy(F.col(id_col).alias(this_id), F.col("text_sha256").alias(this_sha))
+        .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_copies"))
+        .where("not _kept or _copies > 1")
     )
-
-    def found(which: str) -> DataFrame:
-        k = keys.where(which).select("__keep_id", "__keep_sha")
-        return docs.join(k, F.col("__keep_id").eqNullSafe(docs[id_col]) & (F.col("__keep_sha") == sha), "left_semi")
-
-    single = found("__copies = 1")
-    if keys.where("__copies > 1").isEmpty():
+    same = F.col(this_id).eqNullSafe(docs[id_col]) & (F.col(this_sha) == sha)
+    single = docs.join(keys.select(this_id, this_sha), same, "left_anti")
+    several = keys.where("_kept").select(this_id, this_sha)
+    if several.isEmpty():
         return single
-    repeated = found("__copies > 1").withColumn("__keep_sha", sha).dropDuplicates([id_col, "__keep_sha"]).drop("__keep_sha")
+    repeated = docs.join(several, same, "left_semi").withColumn(this_sha, sha).dropDuplicates([id_col, this_sha]).drop(this_sha)
     return single.unionByName(repeated)
