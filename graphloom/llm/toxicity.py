@@ -6,10 +6,10 @@ probabilities over k. The features of a text are its words and their first 5 and
 feature's value is its count over 1 + words / 100, a rate that a single chance hit in a short text
 cannot raise far. Weights have an L1 penalty, so that what carries nothing gets exactly zero.
 
-The model is fitted on the driver on at most `max_labels` labelled rows (those whose id hashes
-lowest), whatever the size of the tables; all texts are then scored as a whole where they are, without
-a shuffle. The score is linear in the counts, so a word's weight is looked up once and remembered.
-What is sent to the tasks is the features with a weight, at most `max_features`.
+The model is fitted in one task on at most `max_labels` labelled rows (those whose id hashes lowest),
+whatever the size of the tables, on all features of their texts; the driver gets the weights that aren't
+zero. All texts are then scored as a whole where they are, without a shuffle. The score is linear in
+the counts, so a word's weight is looked up once and remembered. Features go by their hashes.
 """
 
 from __future__ import annotations
@@ -29,14 +29,16 @@ SEED = 7
 STEMS = (5, 7)
 
 
-def features(word: bytes) -> set[bytes]:
-    """The word and its stems (marked by a hyphen, which no word has)."""
+def features(word: bytes) -> set[int]:
+    """Hashes of the word and its stems (marked by a hyphen, which no word has)."""
+    from xxhash import xxh64_intdigest
+
     text = word.decode(errors="replace")
-    return {word, *(text[:k].encode() + b"-" for k in STEMS if len(text) >= k)}
+    return {xxh64_intdigest(f, SEED) for f in (word, *(text[:k].encode() + b"-" for k in STEMS if len(text) >= k))}
 
 
 class SeverityModel:
-    def __init__(self, weights: dict[bytes, float], thresholds: list[float], remember: int = 300_000) -> None:
+    def __init__(self, weights: dict[int, float], thresholds: list[float], remember: int = 300_000) -> None:
         self.weights, self.thresholds, self.remember, self.known = weights, thresholds, remember, {}
 
     def above(self, texts: list[bytes]) -> np.ndarray:
@@ -53,37 +55,48 @@ class SeverityModel:
         return sum(map(known.__getitem__, words)) / (1 + len(words) / 100)
 
 
-def text_cells(words: list[bytes]) -> dict[bytes, float]:
+class _Features(dict):
+    """The features of words, each found once."""
+
+    def __missing__(self, word: bytes) -> set[int]:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = found = features(word)
+        return found
+
+
+def text_cells(words: list[bytes], known: dict[bytes, set[int]]) -> tuple[np.ndarray, np.ndarray]:
     """The features of a text and their values."""
-    counts: Counter[bytes] = Counter()
+    counts: Counter[int] = Counter()
     for w, c in Counter(words).items():
-        for f in features(w):
+        for f in known[w]:
             counts[f] += c
-    return {f: c / (1 + len(words) / 100) for f, c in counts.items()}
+    size = len(counts)
+    return np.fromiter(counts.keys(), np.uint64, size), np.fromiter(counts.values(), float, size) / (1 + len(words) / 100)
 
 
 def fit_severity(
-    rows: np.ndarray, cols: np.ndarray, value: np.ndarray, grades: np.ndarray, names: list[bytes], penalty: float = 1e-3, rounds: int = 200
+    rows: np.ndarray, cols: np.ndarray, value: np.ndarray, grades: np.ndarray, names: np.ndarray, penalty: float = 1e-3, rounds: int = 200
 ) -> SeverityModel:
     """Accelerated proximal gradient on the mean log-loss of all thresholds; thresholds are not penalised.
     Cells are (text, feature, value). Without texts, or with one grade only, no feature has a weight and
     the thresholds give the base rates."""
-    levels, n, often = max(2, int(grades.max(initial=0))), max(1, len(grades)), names
+    levels, n, width = max(2, int(grades.max(initial=0))), max(1, len(grades)), len(names)
     value = value.astype(float)
     over = (grades[:, None] > np.arange(levels)[None, :]).astype(float)
     rate = np.clip(over.sum(0) / n, 0.5 / (n + 1), 1 - 0.5 / (n + 1))
-    t, w = np.log((1 - rate) / rate), np.zeros(len(often))
+    t, w = np.log((1 - rate) / rate), np.zeros(width)
     # columns are centred and scaled, so that steps can be long
-    mean = np.bincount(cols, value, len(often)) / n
-    scale = 1 / np.sqrt(np.maximum(np.sqrt(np.maximum(np.bincount(cols, value**2, len(often)) / n - mean**2, 0)), 1e-3))
+    mean = np.bincount(cols, value, width) / n
+    scale = 1 / np.sqrt(np.maximum(np.sqrt(np.maximum(np.bincount(cols, value**2, width) / n - mean**2, 0)), 1e-3))
     value, mean = value * scale[cols], mean * scale
-    step = 4.0 / (levels * _largest(rows, cols, value, mean, n, len(often)) + 4.0)
+    step = 4.0 / (levels * _largest(rows, cols, value, mean, n, width) + 4.0)
     look_w, look_t, old_w, old_t, momentum = w, t, w, t, 1.0
     for _ in range(rounds if len(grades) and grades.any() else 0):
         score = np.bincount(rows, value * look_w[cols], n) - mean @ look_w
         err = 1 / (1 + np.exp(np.clip(look_t[None, :] - score[:, None], -50, 50))) - over
         per = err.sum(1)
-        w = look_w - step * (np.bincount(cols, value * per[rows], len(often)) - mean * per.sum()) / n
+        w = look_w - step * (np.bincount(cols, value * per[rows], width) - mean * per.sum()) / n
         w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
         t = np.maximum.accumulate(look_t + step * err.sum(0) / n)  # thresholds stay in order
         ahead = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
@@ -91,7 +104,7 @@ def fit_severity(
         old_w, old_t, momentum = w, t, ahead
     shift = float(mean @ w)
     used = np.flatnonzero(w)
-    return SeverityModel({often[i]: float(w[i] * scale[i]) for i in used}, [float(x) + shift for x in t])
+    return SeverityModel({int(names[i]): float(w[i] * scale[i]) for i in used}, [float(x) + shift for x in t])
 
 
 def _largest(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, centre: np.ndarray, n: int, width: int) -> float:
@@ -110,15 +123,13 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     max_labels: int = 5000,
-    min_texts: int = 4,
-    max_features: int = 100_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     **how,
 ) -> SeverityModel:
-    """Fits on at most `max_labels` labelled rows and the `max_features` features that most of their texts
-    have (`min_texts` at least). A repeated label counts as its worst; rows without an id, without a
-    `toxic` label or without a document don't count; a null quality is a good one."""
+    """Fits on at most `max_labels` labelled rows and all features of their texts. A repeated label counts as
+    its worst; rows without an id, without a `toxic` label or without a document don't count; a null
+    quality is a good one."""
     graded = (
         labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
         .groupBy(F.col(id_col).alias("_label"))
@@ -132,40 +143,41 @@ def train(
     )
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Features()
         for pdf in batches:
-            for text, row, grade in zip(pdf["_text"], pdf["_row"], pdf["_grade"]):
-                cells = text_cells(words_of(text.encode()))
-                # a cell without a feature stands for the text itself
-                yield pd.DataFrame({"_row": row, "_grade": grade, "_feature": [None, *cells], "_value": [0.0, *cells.values()]})
-
-    source = found.select(F.monotonically_increasing_id().alias("_row"), "_grade", "_text")
-    cells = materialise(source.mapInPandas(emit, "_row long, _grade int, _feature binary, _value double"))
-    texts = cells.where("_feature is null").select("_row", "_grade").orderBy("_row").toArrow()
-    ids, grades = texts["_row"].to_numpy(), texts["_grade"].to_numpy().astype(np.int64)
-    often = cells.where("_feature is not null").groupBy("_feature").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_texts)
-    names = [bytes(r[0]) for r in often.orderBy(F.desc("_n"), "_feature").limit(max_features).collect()]
-    column = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
-
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            at = np.array([column.value.get(f, -1) for f in pdf["_feature"]], np.int32)
-            keep = at >= 0
-            yield pd.DataFrame({"_row": pdf["_row"].to_numpy()[keep], "_col": at[keep], "_value": pdf["_value"].to_numpy()[keep]})
-
-    table = cells.where("_feature is not null").select("_row", "_feature", "_value").mapInPandas(number, "_row long, _col int, _value double").toArrow()
-    rows, cols, value = (table[c].to_numpy() for c in ("_row", "_col", "_value"))
-    order = np.lexsort((cols, rows))  # the sums, and so the model, don't depend on the order of arrival
-    return fit_severity(np.searchsorted(ids, rows[order]), cols[order].astype(np.int64), value[order], grades, names, **how)
+            for order, grade, text in zip(pdf["_order"], pdf["_grade"], pdf["_text"]):
+                cols, value = text_cells(words_of(text.encode()), known)
+                yield pd.DataFrame({"_order": [order], "_grade": [grade], "_cols": [cols.tobytes()], "_values": [value.tobytes()]})
+
+    source = found.select(F.xxhash64(F.lit(SEED), "_label", "_text").alias("_order"), "_grade", "_text")
+    cells = materialise(source.mapInPandas(emit, "_order long, _grade int, _cols binary, _values binary"))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = pd.concat([pd.DataFrame({"_order": [], "_grade": [], "_cols": [], "_values": []}), *batches])
+        own = own.sort_values(["_order", "_grade"], kind="stable")  # the sums, and so the model, don't depend on the order of arrival
+        each = [np.sort(np.rec.fromarrays([np.frombuffer(c, np.uint64), np.frombuffer(v, float)], names="c,v"), order="c") for c, v in zip(own["_cols"], own["_values"])]
+        rows = np.repeat(np.arange(len(each)), [len(e) for e in each])
+        names, cols = np.unique(np.concatenate([np.zeros(0, np.uint64), *(e.c for e in each)]), return_inverse=True)
+        value = np.concatenate([np.zeros(0), *(e.v for e in each)])
+        model = fit_severity(rows, cols, value, own["_grade"].to_numpy().astype(np.int64), names, **how)
+        at, by = np.array(list(model.weights), np.uint64).view(np.int64), list(model.weights.values())
+        # thresholds go in front, at the places of their grades
+        yield pd.DataFrame({"_threshold": [True] * len(model.thresholds) + [False] * len(at), "_at": [*range(len(model.thresholds)), *at], "_by": [*model.thresholds, *by]})
+
+    made = materialise(cells.repartition(1).mapInPandas(fit, "_threshold boolean, _at long, _by double")).toArrow().to_pydict()
+    pairs = list(zip(made["_threshold"], made["_at"], made["_by"]))
+    if not pairs:  # no labelled text
+        return fit_severity(*(np.zeros(0, t) for t in (int, int, float, int, np.uint64)), **how)
+    return SeverityModel({a & (1 << 64) - 1: w for t, a, w in pairs if not t}, [w for t, _, w in pairs if t])
 
 
 def scorer(spark: SparkSession, model: SeverityModel) -> Callable[[Column], Column]:
     """A function from a text column to a struct of `p_toxic`, `severity` and `grade`."""
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("p_toxic double, severity double, grade int")
     def score(text: pd.Series) -> pd.DataFrame:
-        above = shared.value.above([t.encode() for t in text])
+        above = model.above([t.encode() for t in text])
         return pd.DataFrame({"p_toxic": above[:, 0], "severity": above.sum(1), "grade": (above >= 0.5).sum(1)})
 
     return lambda text: score(F.coalesce(text, F.lit("")))

@@ -23,7 +23,7 @@ from graphloom.llm.sharding import longest_walk, numbered, permute, rectangle, s
 from graphloom.llm.simhash import near_duplicates
 from graphloom.llm.suffix_dedup import common_prefixes, repeated_passages, repeated_windows, suffix_order
 from graphloom.llm.token_counts import PrefixCounter, token_counts
-from graphloom.llm.toxicity import score_toxicity, without_toxic
+from graphloom.llm.toxicity import fit_severity, score_toxicity, without_toxic
 from graphloom.llm.url_filters import judge_urls, sweep
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,7 +62,7 @@ OPERATORS = {
     "shard_rows": lambda d, l, b: shard_rows(d),
     "judge_urls": lambda d, l, b: judge_urls(d, queries.URL_RULES, "doc_id", "text"),
     "near_duplicates": lambda d, l, b: near_duplicates(d),
-    "score_toxicity": lambda d, l, b: score_toxicity(d, l, min_texts=1),
+    "score_toxicity": lambda d, l, b: score_toxicity(d, l),
     "find_personal_data": lambda d, l, b: personal_data_digest(find_personal_data(d)),
     "find_contamination": lambda d, l, b: contamination_digest(find_contamination(d, b)),
     "repeated_passages": lambda d, l, b: repeated_passages(d),
@@ -229,6 +229,34 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100, 201: 200, 202: 200}
 
 
+def test_the_fit_is_the_least_of_its_loss():
+    """Against the loss written out in plain Python: no step of any weight or threshold lowers it."""
+    rnd = np.random.default_rng(5)
+    dense = rnd.poisson(0.7, (60, 6)).astype(float)
+    grades = np.clip((dense[:, 0] + rnd.normal(0, 0.7, 60)).astype(int), 0, 2)
+    rows, cols = np.nonzero(dense)
+    penalty = 1e-2
+    model = fit_severity(rows, cols, dense[rows, cols], grades, np.arange(6, dtype=np.uint64), penalty=penalty, rounds=3000)
+    spread = dense.std(0)
+
+    def loss(w, t):
+        out = 0.0
+        for x, g in zip(dense, grades):
+            for k in (0, 1):
+                p = 1 / (1 + np.exp(t[k] - x @ w))
+                out -= np.log(p if g > k else 1 - p) / len(dense)
+        return out + penalty * float(np.abs(w) @ np.sqrt(spread))  # weights of columns scaled by the root of their deviation
+
+    w, t = np.array([model.weights.get(i, 0.0) for i in range(6)]), np.array(model.thresholds)
+    best = loss(w, t)
+    assert w[0] > 0.5 and t[0] < t[1]
+    for step in (1e-2, -1e-2, 0.2, -0.2):
+        for i in range(6):
+            assert loss(w + step * (np.arange(6) == i), t) > best - 1e-6
+        for k in (0, 1):
+            assert loss(w, t + step * (np.arange(2) == k)) > best - 1e-6
+
+
 def test_toxicity_on_held_out_rows(spark):
     rnd = random.Random(6)
     docs, marks = [], []
