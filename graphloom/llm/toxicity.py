@@ -59,20 +59,21 @@ class _Features(dict):
     """The features of words, each found once."""
 
     def __missing__(self, word: bytes) -> set[int]:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = found = features(word)
         return found
 
 
 def text_cells(words: list[bytes], known: dict[bytes, set[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """The features of a text and their values."""
+    """The features of a text, in order, and their values."""
     counts: Counter[int] = Counter()
     for w, c in Counter(words).items():
         for f in known[w]:
             counts[f] += c
-    size = len(counts)
-    return np.fromiter(counts.keys(), np.uint64, size), np.fromiter(counts.values(), float, size) / (1 + len(words) / 100)
+    cols = np.fromiter(counts.keys(), np.uint64, len(counts))
+    order = np.argsort(cols)
+    return cols[order], np.fromiter(counts.values(), float, len(counts))[order] / (1 + len(words) / 100)
 
 
 def fit_severity(
@@ -153,13 +154,15 @@ def train(
     cells = materialise(source.mapInPandas(emit, "_order long, _grade int, _cols binary, _values binary"))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = pd.concat([pd.DataFrame({"_order": [], "_grade": [], "_cols": [], "_values": []}), *batches])
-        own = own.sort_values(["_order", "_grade"], kind="stable")  # the sums, and so the model, don't depend on the order of arrival
-        each = [np.sort(np.rec.fromarrays([np.frombuffer(c, np.uint64), np.frombuffer(v, float)], names="c,v"), order="c") for c, v in zip(own["_cols"], own["_values"])]
-        rows = np.repeat(np.arange(len(each)), [len(e) for e in each])
-        names, cols = np.unique(np.concatenate([np.zeros(0, np.uint64), *(e.c for e in each)]), return_inverse=True)
-        value = np.concatenate([np.zeros(0), *(e.v for e in each)])
-        model = fit_severity(rows, cols, value, own["_grade"].to_numpy().astype(np.int64), names, **how)
+        texts = [t for pdf in batches for t in zip(pdf["_order"], pdf["_grade"], pdf["_cols"], pdf["_values"])]
+        texts.sort(key=lambda t: t[:2])  # the sums, and so the model, don't depend on the order of arrival
+        grades = np.array([t[1] for t in texts], np.int64)
+        rows = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t[2]) // 8 for t in texts])
+        cols = np.frombuffer(b"".join(t[2] for t in texts), np.uint64)
+        value = np.frombuffer(b"".join(t[3] for t in texts), float)
+        del texts
+        names, cols = np.unique(cols, return_inverse=True)
+        model = fit_severity(rows, cols.astype(np.int32), value, grades, names, **how)
         at, by = np.array(list(model.weights), np.uint64).view(np.int64), list(model.weights.values())
         # thresholds go in front, at the places of their grades
         yield pd.DataFrame({"_threshold": [True] * len(model.thresholds) + [False] * len(at), "_at": [*range(len(model.thresholds)), *at], "_by": [*model.thresholds, *by]})
