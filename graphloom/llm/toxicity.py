@@ -38,7 +38,7 @@ def features(word: bytes) -> set[int]:
 
 
 class SeverityModel:
-    def __init__(self, weights: dict[int, float], thresholds: list[float], remember: int = 300_000) -> None:
+    def __init__(self, weights: dict[int, float], thresholds: list[float], remember: int = 100_000) -> None:
         self.weights, self.thresholds, self.remember, self.known = weights, thresholds, remember, {}
 
     def above(self, texts: list[bytes]) -> np.ndarray:
@@ -76,6 +76,16 @@ def text_cells(words: list[bytes], known: dict[bytes, set[int]]) -> tuple[np.nda
     return cols[order], np.fromiter(counts.values(), float, len(counts))[order] / (1 + len(words) / 100)
 
 
+def _numbered(feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct features in order, and the place of each feature among them."""
+    order = np.argsort(feature).astype(np.int32)
+    feature = feature[order]
+    new = np.concatenate([np.ones(min(1, len(feature)), bool), feature[1:] != feature[:-1]])
+    place = np.empty(len(feature), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return feature[new], place
+
+
 def fit_severity(
     rows: np.ndarray, cols: np.ndarray, value: np.ndarray, grades: np.ndarray, names: np.ndarray, penalty: float = 1e-3, rounds: int = 200
 ) -> SeverityModel:
@@ -90,7 +100,8 @@ def fit_severity(
     # columns are centred and scaled, so that steps can be long
     mean = np.bincount(cols, value, width) / n
     scale = 1 / np.sqrt(np.maximum(np.sqrt(np.maximum(np.bincount(cols, value**2, width) / n - mean**2, 0)), 1e-3))
-    value, mean = value * scale[cols], mean * scale
+    value = value * scale[cols]
+    mean = mean * scale
     step = 4.0 / (levels * _largest(rows, cols, value, mean, n, width) + 4.0)
     look_w, look_t, old_w, old_t, momentum = w, t, w, t, 1.0
     for _ in range(rounds if len(grades) and grades.any() else 0):
@@ -146,23 +157,28 @@ def train(
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Features()
         for pdf in batches:
-            for order, grade, text in zip(pdf["_order"], pdf["_grade"], pdf["_text"]):
-                cols, value = text_cells(words_of(text.encode()), known)
-                yield pd.DataFrame({"_order": [order], "_grade": [grade], "_cols": [cols.tobytes()], "_values": [value.tobytes()]})
+            cells = [text_cells(words_of(t.encode()), known) for t in pdf["_text"]]
+            own = {"_cols": [c.tobytes() for c, _ in cells], "_values": [v.tobytes() for _, v in cells]}
+            yield pd.DataFrame({"_order": pdf["_order"], "_grade": pdf["_grade"], **own})
 
     source = found.select(F.xxhash64(F.lit(SEED), "_label", "_text").alias("_order"), "_grade", "_text")
     cells = materialise(source.mapInPandas(emit, "_order long, _grade int, _cols binary, _values binary"))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts = [t for pdf in batches for t in zip(pdf["_order"], pdf["_grade"], pdf["_cols"], pdf["_values"])]
+        texts = [
+            (order, grade, np.frombuffer(cols, np.uint64).copy(), np.frombuffer(values, float).copy())
+            for pdf in batches
+            for order, grade, cols, values in zip(pdf["_order"], pdf["_grade"], pdf["_cols"], pdf["_values"])
+        ]
         texts.sort(key=lambda t: t[:2])  # the sums, and so the model, don't depend on the order of arrival
         grades = np.array([t[1] for t in texts], np.int64)
-        rows = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t[2]) // 8 for t in texts])
-        cols = np.frombuffer(b"".join(t[2] for t in texts), np.uint64)
-        value = np.frombuffer(b"".join(t[3] for t in texts), float)
+        rows = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t[2]) for t in texts])
+        value = np.concatenate([np.zeros(0), *(t[3] for t in texts)])
+        feature = np.concatenate([np.zeros(0, np.uint64), *(t[2] for t in texts)])
         del texts
-        names, cols = np.unique(cols, return_inverse=True)
-        model = fit_severity(rows, cols.astype(np.int32), value, grades, names, **how)
+        names, cols = _numbered(feature)
+        del feature
+        model = fit_severity(rows, cols, value, grades, names, **how)
         at, by = np.array(list(model.weights), np.uint64).view(np.int64), list(model.weights.values())
         # thresholds go in front, at the places of their grades
         yield pd.DataFrame({"_threshold": [True] * len(model.thresholds) + [False] * len(at), "_at": [*range(len(model.thresholds)), *at], "_by": [*model.thresholds, *by]})
