@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable
-from functools import cache
 from typing import Any
 
 import numpy as np
 
+from .common import held
+
 
 def id_bytes(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers; `ends` are the places of the separators."""
@@ -29,7 +30,7 @@ def id_counts(ids: np.ndarray, ends: np.ndarray) -> list[int]:
 class ChunkStore:
     """`value`: id_bytes or id_counts."""
 
-    def __init__(self, path: str, value: Callable[[np.ndarray, np.ndarray], list], limit: int = 500_000, longest: int = 64) -> None:
+    def __init__(self, path: str, value: Callable[[np.ndarray, np.ndarray], list], limit: int = 300_000, longest: int = 64) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -74,10 +75,9 @@ class ChunkStore:
         return found
 
 
-@cache
 def shared_store(path: str, value: Callable[[np.ndarray, np.ndarray], list]) -> ChunkStore:
     """One store per Python worker: the vocabulary is loaded once, and later tasks find their chunks known."""
-    return ChunkStore(path, value)
+    return held((path, value.__name__), lambda: ChunkStore(path, value))
 
 
 def space_chunks(text: str, special: Iterable[str] = ()) -> list[str]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,16 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
 _LOCAL_DIR: list[str] = []
+_HELD: dict[Any, Any] = {}
+
+
+def held(owner: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks, of one owner at a time: a worker that goes on with another
+    operator gives back what the one before had stored."""
+    if owner not in _HELD:
+        _HELD.clear()
+        _HELD[owner] = make()
+    return _HELD[owner]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import held, materialise, small_batches
 from .decontamination import words_of
 
 SEED = 7
@@ -155,7 +155,7 @@ def train(
     )
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Features()
+        known = held("features", _Features)
         for pdf in batches:
             cells = [text_cells(words_of(t.encode()), known) for t in pdf["_text"]]
             own = {"_cols": [c.tobytes() for c, _ in cells], "_values": [v.tobytes() for _, v in cells]}
@@ -196,6 +196,7 @@ def scorer(spark: SparkSession, model: SeverityModel) -> Callable[[Column], Colu
 
     @F.pandas_udf("p_toxic double, severity double, grade int")
     def score(text: pd.Series) -> pd.DataFrame:
+        held("features", _Features)
         above = model.above([t.encode() for t in text])
         return pd.DataFrame({"p_toxic": above[:, 0], "severity": above.sum(1), "grade": (above >= 0.5).sum(1)})
 
