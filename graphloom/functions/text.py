@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 LABEL_PUNCTUATION = r"[.,!?;:\"'()\[\]{}…~\-—–_/<>《》〈〉·※ㆍ「」『』]"
 # Fixed value: ASCII punctuation that answers lose.
 ANSWER_PUNCTUATION = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
+# Image links in text, image file names, the answer call, and where original image files are.
 LINK = r"\[\[([^\]]+)\]\]"
+IMAGE_FILE = r"(?i)([^\]\s\"\[]+\.(?:png|jpg|jpeg|svg|gif|webp))"
+ANSWER_CALL = r"(?s)f_answers\s*\(\s*\[(.*?)\]\s*\)"
+FILE_PATH = "https://en.wikipedia.org/wiki/Special:FilePath/"
 
 
 def strip(c: Column) -> Column:
@@ -82,19 +86,24 @@ def without_links(c: Column) -> Column:
     return strip(F.regexp_replace(c, LINK, ""))
 
 
-def image_links(c: Column, prefix: str = "Special:FilePath/") -> Column:
-    """All upload urls in a text, each behind the prefix once."""
-    found = F.regexp_extract_all(c, F.lit(r"(https?://[^\s\"'\]]+\.(?:png|jpe?g|gif|svg|webp))"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda u: F.when(F.contains(u, F.lit(prefix)), u).otherwise(F.concat(F.lit(prefix), u))))
+def image_links(c: Column, prefix: str = FILE_PATH) -> Column:
+    """The urls of all image files that a text names, distinct and in order."""
+    found = F.regexp_extract_all(c, F.lit(IMAGE_FILE), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda name: F.concat(F.lit(prefix), strip(name)))))
 
 
-def file_path_url(resource: Column, src: Column, prefix: str = "https://commons.wikimedia.org/wiki/Special:FilePath/") -> Column:
-    """The original file of an image: from its resource name, else from a thumbnail or plain upload url."""
-    named = F.regexp_extract(resource, r"(?:File|Image):(.*)$", 1)
-    thumb = F.regexp_extract(src, r"/thumb/[^/]+/[^/]+/([^/]+)/", 1)
-    plain = F.regexp_extract(src, r"([^/]+)$", 1)
-    name = F.coalesce(*(F.when(F.length(x) > 0, x) for x in (named, thumb, plain)))
-    return F.concat(F.lit(prefix), percent_decode(name))
+def file_path_url(resource: Column, src: Column, prefix: str = FILE_PATH) -> Column:
+    """The original file of an image: from its resource name, else from an upload or its thumbnail; another
+    address stays as it is. Null without any."""
+    named = percent_decode(F.regexp_replace(resource, r"(?:\./)?File:", ""))
+    raw = F.regexp_replace(strip(src), "^//", "https://")
+    parts = F.split(raw, "/")
+    upload = percent_decode(F.when(F.contains(raw, F.lit("/thumb/")), F.element_at(parts, -2)).otherwise(F.element_at(parts, -1)))
+    return (
+        F.when(F.length(resource) > 0, F.concat(F.lit(prefix), named))
+        .when(F.contains(raw, F.lit("upload.wikimedia.org")), F.concat(F.lit(prefix), upload))
+        .when(F.length(raw) > 0, raw)
+    )
 
 
 def remove_newlines(c: Column) -> Column:
@@ -106,10 +115,12 @@ def component_prefix(title: Column, heading_path: Column) -> Column:
 
 
 def image_text(prefix: Column, caption: Column, explanation: Column, ocr: Column) -> Column:
+    """The prefix with the caption, then the explanation and the OCR text where they aren't empty."""
+
     def some(c: Column) -> Column:
-        return F.when(F.length(c) > 0, c)
+        return F.when(F.length(c) > 0, F.concat(F.lit(" [SEP] "), c)).otherwise("")
 
-    return F.concat(prefix, F.concat_ws(" ", some(caption), some(explanation), some(ocr)))
+    return F.concat(prefix, F.coalesce(caption, F.lit("")), some(explanation), some(ocr))
 
 
 def paragraphs(c: Column) -> Column:
@@ -147,10 +158,9 @@ def table_subcomponents(table: Column) -> Column:
 
 def parse_answers(c: Column) -> Column:
     """The quoted strings of the first f_answers([...]); the stripped output where there is none."""
-    call = r"(?s)f_answers\s*\(\s*\[(.*?)\]\s*\)"
-    inner = F.regexp_extract(c, call, 1)
-    quoted = F.regexp_extract_all(inner, F.lit("[\"'](.*?)[\"']"), F.lit(1))
-    return F.when(F.regexp_like(c, F.lit(call)), quoted).otherwise(F.array(strip(c)))
+    inner = F.regexp_extract(c, ANSWER_CALL, 1)
+    quoted = F.transform(F.regexp_extract_all(inner, F.lit("[\"'](.*?)[\"']"), F.lit(1)), strip)
+    return F.when(F.regexp_like(c, F.lit(ANSWER_CALL)), quoted).otherwise(F.array(strip(c)))
 
 
 def normalize_answer(c: Column) -> Column:

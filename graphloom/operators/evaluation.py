@@ -39,7 +39,9 @@ def _normal_set(answers: Column) -> Column:
 
 
 def answer_scores(answers: DataFrame, truth: DataFrame) -> DataFrame:
-    """(`qid`, `em`, `f1`) of generated outputs (`qid`, `answer`) against `qid`, `answers`; questions without truth don't count."""
+    """(`qid`, `em`, `f1`) of generated outputs (`qid`, `answer`) against `qid`, `answers`. An answer whose question
+    isn't in `truth` is an error; questions with an empty truth don't count."""
+    require_all(answers, truth)
     joined = answers.join(truth.where(F.size("answers") > 0), "qid").select(
         "qid", _normal_set(parse_answers(F.col("answer"))).alias("p"), _normal_set(F.col("answers")).alias("t")
     )

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import FILE_PATH
+
 # Tags and headings of the page format.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 KEPT = {"p", "table", "figure", "ul", "ol", "h2", "h3", "h4", "h5", "h6"}
@@ -87,33 +89,42 @@ def parse(html: str) -> Node:
     return tree.root
 
 
+def raw_text(node: Node | str) -> str:
+    """All text of a node as it stands, images as their links."""
+    if isinstance(node, str):
+        return node
+    if node.tag == "img":
+        return f"[[{url}]]" if (url := image_url(node)) else ""
+    return "".join(map(raw_text, node.children))
+
+
 def wiki_link(node: Node) -> str | None:
-    """The page that a link names: `rel` has mw:WikiLink, or href begins with ./ or /wiki/."""
+    """The page that a link names: `rel` has mw:WikiLink, or href begins with ./; files and special pages are none."""
     href = node.attrs.get("href", "")
-    if href.startswith("./"):
-        name = href[2:]
-    elif href.startswith("/wiki/") and ":" not in href:
-        name = href[6:]
-    elif "mw:WikiLink" in node.attrs.get("rel", "").split():
-        name = href
-    else:
+    if not (href.startswith("./") or "mw:WikiLink" in node.attrs.get("rel", "").split()) or "File:" in href or "Special:" in href:
         return None
-    name = unquote(name.split("?")[0])
-    return None if name.startswith(("File:", "Special:")) or not name else name
+    return unquote(href.replace("./", "").replace("/wiki/", "")).split("?")[0]
+
+
+def _file(name: str) -> str:
+    return FILE_PATH + unquote(name.replace("./File:", "").replace("File:", ""))
 
 
 def image_url(node: Node) -> str | None:
-    name = ""
+    """Where the original file of an image is; an address outside the upload server as it stands."""
     if node.attrs.get("resource"):
-        name = node.attrs["resource"].rpartition("File:")[2]
-    elif node.attrs.get("src"):
-        parts = node.attrs["src"].split("/")
-        name = parts[-2] if "thumb" in parts and len(parts) > 1 else parts[-1]
-    return f"https://commons.wikimedia.org/wiki/Special:FilePath/{unquote(name)}" if name else None
+        return _file(node.attrs["resource"])
+    src = node.attrs.get("src", "").strip()
+    src = "https:" + src if src.startswith("//") else src
+    if "upload.wikimedia.org" not in src:
+        return src or None
+    parts = src.split("/")
+    return FILE_PATH + unquote(parts[-2] if "/thumb/" in src else parts[-1])
 
 
 def text_of(node: Node, edges: list[str]) -> str:
-    """Text joined by spaces and collapsed; references are dropped, links noted, images written as [[url]]."""
+    """Text joined by spaces and collapsed; references and links without text are dropped, the others' pages
+    noted, images written as [[url]]."""
     out: list[str] = []
     stack: list = [node]
     while stack:
@@ -123,30 +134,42 @@ def text_of(node: Node, edges: list[str]) -> str:
             continue
         if n.tag in ("style", "script") or n.tag in ("sup", "span") and "reference" in n.classes:
             continue
-        if n.tag == "a" and (title := wiki_link(n)):
-            edges.append(title)
-        if n.tag == "img" and (url := image_url(n)):
-            out.append(f"[[{url}]]")
+        if n.tag == "a":
+            label = raw_text(n).strip()
+            if not label:
+                continue
+            if (title := wiki_link(n)) is not None:
+                edges.append(title)
+                out.append(label)
+                continue
+        if n.tag == "img":
+            out.append(raw_text(n))
         stack += reversed(n.children)
     return " ".join(" ".join(out).split())
 
 
+def _list_parts(node: Node | str, edges: list[str]) -> list[str]:
+    if isinstance(node, str) or node.tag in ("img", "a"):
+        if not isinstance(node, str) and node.tag == "a":
+            href = node.attrs.get("href", "")
+            if href.startswith("/wiki/") and ":" not in href:
+                edges.append(href.replace("/wiki/", "").replace("_", " "))
+        words = raw_text(node).split()
+        return [" ".join(words)] if words else []
+    if node.tag in ("sup", "style", "script"):
+        return []
+    parts = [p for c in node.children for p in _list_parts(c, edges)]
+    return ["- " + " ".join(parts).strip() + "\n"] if node.tag == "li" else parts
+
+
 def list_text(node: Node, edges: list[str]) -> str:
-    items = []
-    for li in node.children:
-        if isinstance(li, Node) and li.tag == "li":
-            own = Node("li")
-            own.children = [c for c in li.children if not (isinstance(c, Node) and c.tag in ("ul", "ol", "sup", "style", "script"))]
-            text = text_of(own, edges)
-            if text:
-                items.append(f"- {text}\n")
-            items += [list_text(c, edges) for c in li.children if isinstance(c, Node) and c.tag in ("ul", "ol")]
-    return "".join(items)
+    """A list with an item a line; an item holds the items of its own lists on its line or the next ones."""
+    return re.sub(r" ?\n ?", "\n", " ".join(_list_parts(node, edges))).strip()
 
 
 def table_rows(node: Node, edges: list[str]) -> list[list[str]]:
     """Direct rows of the first tbody (of the table itself without one), direct cells."""
-    body = next((c for c in node.children if isinstance(c, Node) and c.tag == "tbody"), node)
+    body = next(node.find_all("tbody"), node)
     rows = [[text_of(c, edges) for c in tr.children if isinstance(c, Node) and c.tag in ("td", "th")] for tr in body.children if isinstance(tr, Node) and tr.tag == "tr"]
     return [r for r in rows if r]
 
@@ -173,6 +196,8 @@ def sections(root: Node, fallback: tuple[str, ...] = ("article",)) -> list[Node]
 def components(html: str) -> Iterator[dict]:
     path: list[str] = []
     for section in sections(parse(html)):
+        if "shortdescription" in section.classes:
+            continue
         for e in flattened(section):
             edges: list[str] = []
             made: dict = {}
@@ -182,7 +207,7 @@ def components(html: str) -> Iterator[dict]:
                     break
                 path = [*path[: int(e.tag[1]) - 2], title]
                 continue
-            if "shortdescription" in e.classes or e.tag == "table" and e.classes & BOXES:
+            if e.tag == "table" and e.classes & BOXES:
                 continue
             if e.tag == "p":
                 made = {"type": "paragraph", "paragraph": text_of(e, edges)}
@@ -191,9 +216,9 @@ def components(html: str) -> Iterator[dict]:
             elif e.tag == "table":
                 made = {"type": "table", "table": table_rows(e, edges)}
             elif e.tag == "figure":
-                img, cap = next(e.find_all("img"), None), next(e.find_all("figcaption"), None)
-                url = image_url(img) if img else None
-                made = {"type": "image", "src": url, "caption": text_of(cap, edges) if cap else ""} if url else {}
+                link, cap = next(e.find_all("a"), None), next(e.find_all("figcaption"), None)
+                href = link.attrs.get("href", "") if link else ""
+                made = {"type": "image", "src": _file(href), "caption": text_of(cap, edges) if cap else ""} if href else {}
             if made and (made["type"] != "paragraph" or made["paragraph"].strip()):
                 yield {**made, "heading_path": list(path), "edge": list(dict.fromkeys(edges))}
 

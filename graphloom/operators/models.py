@@ -10,7 +10,7 @@ import hashlib
 import json
 import unicodedata
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
 import numpy as np
@@ -105,15 +105,39 @@ class HttpFetcher:
             return answer.read()  # raises for a bad status
 
 
-def embedding(model: Embedder, text: Column, image: Column | None = None, box: Column | None = None, instruction: str | None = None) -> Column:
-    """A vector per row; a query's vector with an instruction."""
+def _each(call: Callable[[list[int]], list], rows: list[int]) -> tuple[dict[int, Any], dict[int, str]]:
+    """Results and errors by row: of all rows in one call, or row by row if that fails."""
+    try:
+        return dict(zip(rows, call(rows), strict=True)), {}
+    except Exception as e:  # noqa: BLE001
+        if len(rows) == 1:
+            return {}, {rows[0]: f"{type(e).__name__}: {e}"}
+    made, errors = {}, {}
+    for r in rows:
+        one, bad = _each(call, [r])
+        made |= one
+        errors |= bad
+    return made, errors
 
-    @F.pandas_udf("array<float>")
-    def embed(t: pd.Series, i: pd.Series, b: pd.Series) -> pd.Series:
+
+def embedding(model: Embedder, text: Column, image: Column | None = None, box: Column | None = None, instruction: Column | None = None) -> Column:
+    """A struct of `vector` and `error`; a query's vector with an instruction. One call for each instruction of a batch."""
+
+    @F.pandas_udf("vector array<float>, error string")
+    def embed(t: pd.Series, i: pd.Series, b: pd.Series, how: pd.Series) -> pd.DataFrame:
         boxes = [None if x is None else [int(v) for v in x] for x in b]
-        return pd.Series(list(model.embed(list(t), list(i), boxes, instruction)))
+        made, errors = {}, {}
+        for name in dict.fromkeys(how):
+            rows = [k for k, h in enumerate(how) if h == name or h is None and name is None]
+            one, bad = _each(lambda at: list(model.embed([t[k] for k in at], [i[k] for k in at], [boxes[k] for k in at], name)), rows)  # noqa: B023
+            made |= one
+            errors |= bad
+        return pd.DataFrame({"vector": [made.get(k) for k in range(len(t))], "error": [errors.get(k) for k in range(len(t))]})
+
+    def text_or_null(c: Column | None) -> Column:
+        return F.lit(None).cast("string") if c is None else c
 
-    return embed(text, F.lit(None).cast("string") if image is None else image, F.lit(None).cast("array<int>") if box is None else box)
+    return embed(text, text_or_null(image), F.lit(None).cast("array<int>") if box is None else box, text_or_null(instruction))
 
 
 def generated(model: Generator, prompt: Column, images: Column | None = None, max_tokens: int = 256, failed: str = "[Generation Failed]") -> Column:
@@ -122,27 +146,21 @@ def generated(model: Generator, prompt: Column, images: Column | None = None, ma
 
     @F.pandas_udf("text string, error string")
     def generate(p: pd.Series, i: pd.Series) -> pd.DataFrame:
-        rows = []
-        for prompt_, images_ in zip(p, i):
-            try:
-                rows.append((model.generate([prompt_], [list(images_) if images_ is not None else []], max_tokens)[0], None))
-            except Exception as e:  # noqa: BLE001
-                rows.append((failed, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(rows, columns=["text", "error"])
+        files = [list(x) if x is not None else [] for x in i]
+        made, errors = _each(lambda at: model.generate([p[k] for k in at], [files[k] for k in at], max_tokens), list(range(len(p))))
+        return pd.DataFrame({"text": [made.get(k, failed) for k in range(len(p))], "error": [errors.get(k) for k in range(len(p))]})
 
     return generate.asNondeterministic()(prompt, F.array().cast("array<string>") if images is None else images)
 
 
 def plan_questions(questions: DataFrame, generator: Generator, embedder: Embedder, templates: Templates = Templates(), instructions: dict[str, str] | None = None) -> DataFrame:
-    """(`qid`, `i`, `subquery`, `modality`, `embedding`): sub-queries, where each looks, and their vectors."""
+    """(`qid`, `i`, `subquery`, `modality`, `embedding`, `error`): sub-queries, where each looks, and their vectors."""
     asked = questions.select("qid", generated(generator, filled(templates.decompose, "query", F.col("question"))).alias("g"))
     subs = asked.select("qid", F.posexplode(subqueries(F.col("g.text"))).alias("i", "subquery"))
     kind = subs.withColumn("modality", modality(generated(generator, filled(templates.modality, "subquery", F.col("subquery")))["text"]))
-    instructions = instructions or {}
-    vector = F.coalesce(
-        *(F.when(F.col("modality") == m, embedding(embedder, F.col("subquery"), instruction=instructions.get(m, m))) for m in ("text", "table", "image"))
-    )
-    return kind.withColumn("embedding", vector)
+    names = {m: (instructions or {}).get(m, m) for m in ("text", "table", "image")}
+    how = F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("modality"))
+    return kind.withColumn("_e", embedding(embedder, F.col("subquery"), instruction=how)).select("*", F.col("_e.vector").alias("embedding"), "_e.error").drop("_e")
 
 
 def nfkc(c: Column) -> Column:
@@ -154,8 +172,8 @@ def nfkc(c: Column) -> Column:
 
 
 def clean_ocr(c: Column) -> Column:
-    """Compatibility forms folded; digits, Latin and Hangul letters kept; white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(nfkc(c), r"[^0-9가-힣a-zA-Z\s]", ""), r"\s+", " "))
+    """Compatibility forms folded; digits, Latin and Hangul letters kept, all else a space; white space collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(nfkc(c), r"[^0-9가-힣a-zA-Z\s]", " "), r"\s+", " "))
 
 
 def detections(images: DataFrame, detector: Detector, keep: int = 3, batch: int = 32) -> DataFrame:

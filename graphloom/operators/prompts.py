@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import prompt_cell
+from ..functions.text import links, without_links
 
 
 @dataclass(frozen=True)
@@ -26,25 +26,54 @@ def filled(template: str, name: str, value: Column) -> Column:
     return F.replace(F.lit(template), F.lit("{" + name + "}"), value)
 
 
-def passage_block(title: Column, text: Column) -> Column:
-    return F.concat(F.lit("/*\n[Passage]\nTitle: "), title, F.lit("\n\n"), text, F.lit("\n*/\n\n"))
+def _head(kind: str, title: Column, section: Column) -> Column:
+    return F.concat(F.lit(f"/*\n[{kind}]\nTitle: "), title, F.lit("\nSection: "), F.array_join(section, ", "), F.lit("\n\n"))
 
 
-def table_block(title: Column, section: Column, table: Column) -> Column:
-    rows = F.array_join(F.transform(table, lambda r: F.array_join(F.transform(r, prompt_cell), " | ")), "\n")
-    return F.concat(F.lit("/*\n[Table]\nTitle: "), title, F.lit("\nSection: "), F.array_join(section, " | "), F.lit("\n\n"), rows, F.lit("\n*/\n\n"))
+def passage_block(title: Column, section: Column, text: Column) -> Column:
+    """`section`: the heading path, an array."""
+    return F.concat(_head("Passage", title, section), text, F.lit("\n*/\n\n"))
 
 
-def image_block(title: Column, caption: Column, number: Column) -> Column:
-    """`number` is null where the image's file doesn't exist."""
-    tag = F.when(number.isNotNull(), F.concat(F.lit("<Image "), number.cast("string"), F.lit("> "))).otherwise("")
-    return F.concat(F.lit("/*\n[Image]\nTitle: "), title, F.lit("\n\n"), tag, F.coalesce(caption, F.lit("")), F.lit("\n*/\n\n"))
+def _first_links(table: Column) -> Column:
+    """The first link of every cell, row by row; null in cells without one."""
+    return F.transform(F.flatten(table), lambda c: F.try_element_at(links(c), F.lit(1)))
+
+
+def first_table_image(table: Column, existing: Column) -> Column:
+    """The first cell's first link that is in the array `existing`; null without one."""
+    return F.try_element_at(F.filter(_first_links(table), lambda x: F.coalesce(F.array_contains(existing, x), F.lit(False))), F.lit(1))
+
+
+def table_block(title: Column, section: Column, table: Column, image: Column | None = None, number: Column | None = None) -> Column:
+    """Cells by ` | `, a row a line. The first cell that begins its links with `image` (see `first_table_image`)
+    is marked as image `number`; no cell where either is null."""
+    if image is None or number is None:
+        at, tag = F.lit(0).cast("bigint"), F.lit("")
+    else:
+        at = F.coalesce(F.when(number.isNotNull(), F.array_position(_first_links(table), image)), F.lit(0).cast("bigint"))
+        tag = F.concat(F.lit("<Image "), F.coalesce(number.cast("string"), F.lit("")), F.lit(">, "))
+
+    def cell(c: Column, place: Column) -> Column:
+        return F.regexp_replace(F.concat(F.when(place == at, tag).otherwise(""), without_links(c)), r"\s*,\s*", " , ")
+
+    def line(r: Column, i: Column) -> Column:
+        before = F.aggregate(F.slice(table, F.lit(1), i), F.lit(0), lambda n, x: n + F.size(x))
+        return F.concat(F.array_join(F.transform(r, lambda c, j: cell(c, before + j + 1)), " | "), F.lit("\n"))
+
+    return F.concat(_head("Table", title, section), F.array_join(F.transform(table, line), ""), F.lit("*/\n\n"))
+
+
+def image_block(title: Column, section: Column, caption: Column, number: Column) -> Column:
+    """`number` is null where the image's file doesn't exist, which leaves the head alone."""
+    body = F.concat(F.lit("<Image "), number.cast("string"), F.lit(">\nCaption: "), F.coalesce(caption, F.lit("")), F.lit("\n"))
+    return F.concat(_head("Image", title, section), F.coalesce(body, F.lit("")), F.lit("*/\n\n"))
 
 
 def number_images(evidence: DataFrame) -> DataFrame:
-    """`evidence` (`qid`, `pos`, `has_image`) with `image_no`, counted from 1 in each prompt; null without an image."""
+    """`evidence` (`qid`, `pos`, `has_image`) with `image_no`, counted from 0 in each prompt; null without an image."""
     w = Window.partitionBy("qid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return evidence.withColumn("image_no", F.when(F.col("has_image"), F.sum(F.col("has_image").cast("int")).over(w)))
+    return evidence.withColumn("image_no", F.when(F.col("has_image"), F.sum(F.col("has_image").cast("int")).over(w) - 1))
 
 
 def question_prompts(blocks: DataFrame, questions: DataFrame, templates: Templates = Templates()) -> DataFrame:
@@ -54,6 +83,11 @@ def question_prompts(blocks: DataFrame, questions: DataFrame, templates: Templat
     return questions.join(body, "qid", "left").select(
         "qid",
         F.concat(
-            head, F.lit(templates.demonstration), F.coalesce(F.array_join(F.col("b.block"), ""), F.lit("")), F.lit("Question = "), F.col("question"), F.lit("\nThe answer is: ")
+            head,
+            F.lit(templates.demonstration + "\n"),
+            F.coalesce(F.array_join(F.col("b.block"), "\n"), F.lit("")),
+            F.lit("\nQuestion = "),
+            F.col("question"),
+            F.lit("\nThe answer is: "),
         ).alias("prompt"),
     )

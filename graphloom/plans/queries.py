@@ -379,25 +379,62 @@ def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH b AS (SELECT conv_id, turn, '/*' || chr(10) || '[Passage]' || chr(10) || 'Title: ' || role || chr(10) || chr(10) || text || chr(10) || '*/' || chr(10) || chr(10) AS block FROM conversations)
-    SELECT conv_id AS qid, 'Answer the question from the passages and tables below. Call f_answers([...]) with a short answer.' || chr(10) || chr(10)
-    || string_agg(block, '' ORDER BY turn, block) || 'Question = What is said in ' || conv_id || '?' || chr(10) || 'The answer is: ' AS prompt FROM b GROUP BY conv_id"""
+    """WITH b AS (SELECT conv_id, turn, '/*' || chr(10) || '[Passage]' || chr(10) || 'Title: ' || role || chr(10) || 'Section: turn, ' || turn || chr(10) || chr(10) || text || chr(10) || '*/' || chr(10) || chr(10) AS block FROM conversations)
+    SELECT conv_id AS qid, 'Answer the question from the passages and tables below. Call f_answers([...]) with a short answer.' || chr(10) || chr(10) || chr(10)
+    || string_agg(block, chr(10) ORDER BY turn, block) || chr(10) || 'Question = What is said in ' || conv_id || '?' || chr(10) || 'The answer is: ' AS prompt FROM b GROUP BY conv_id"""
 )
 def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    blocks = turns.select(F.col("conv_id").alias("qid"), F.col("turn").alias("pos"), prompts.passage_block(F.col("role"), F.col("text")).alias("block"), F.lit(False).alias("is_image"))
+    blocks = turns.select(F.col("conv_id").alias("qid"), F.col("turn").alias("pos"), prompts.passage_block(F.col("role"), F.array(F.lit("turn"), F.col("turn").cast("string")), F.col("text")).alias("block"), F.lit(False).alias("is_image"))
     asked = turns.select(F.col("conv_id").alias("qid")).distinct().withColumn("question", F.concat(F.lit("What is said in "), F.col("qid").cast("string"), F.lit("?")))
     return prompts.question_prompts(blocks, asked)
 
 
 @query(
-    """SELECT conv_id, turn, CASE WHEN role = 'user' THEN count_if(role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) END AS image_no FROM conversations"""
+    """SELECT conv_id, turn, CASE WHEN role = 'user' THEN count_if(role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - 1 END AS image_no FROM conversations"""
 )
 def prompt_image_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("pos"), (F.col("role") == "user").alias("has_image"))
     return prompts.number_images(evidence).select(F.col("qid").alias("conv_id"), F.col("pos").alias("turn"), "image_no")
 
 
+@query(
+    """SELECT p_brand, '/*' || chr(10) || '[Table]' || chr(10) || 'Title: ' || p_brand || chr(10) || 'Section: parts, all' || chr(10) || chr(10) || 'Name | Type | Size' || chr(10)
+    || string_agg(CASE WHEN k = 1 THEN '<Image 7> , ' ELSE '' END || trim(p_name) || ' | ' || p_type || ' | ' || p_size || chr(10), '' ORDER BY p_partkey) || '*/' || chr(10) || chr(10) AS block
+    FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN row_number() OVER (PARTITION BY p_brand, p_partkey % 3 = 0 ORDER BY p_partkey) END AS k FROM part) GROUP BY p_brand"""
+)
+def prompt_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables as blocks; the images of every third part exist."""
+    tables = _part_tables(spark, sf_dir)
+    there = table(spark, sf_dir, "part").groupBy("p_brand").agg(
+        F.collect_list(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("http://x/"), F.col("p_partkey").cast("string"), F.lit(".png")))).alias("there")
+    )
+    found = tables.join(there, "p_brand").withColumn("first", prompts.first_table_image(F.col("table"), F.col("there")))
+    number = F.when(F.col("first").isNotNull(), F.lit(7))
+    return found.select("p_brand", prompts.table_block(F.col("p_brand"), F.array(F.lit("parts"), F.lit("all")), F.col("table"), F.col("first"), number).alias("block"))
+
+
+@query(
+    """SELECT doc_id, '/*' || chr(10) || '[Image]' || chr(10) || 'Title: ' || source || chr(10) || 'Section: ' || lang || chr(10) || chr(10)
+    || CASE WHEN doc_id % 2 = 0 THEN '<Image ' || doc_id || '>' || chr(10) || 'Caption: ' || coalesce(text, '') || chr(10) ELSE '' END || '*/' || chr(10) || chr(10) AS block FROM documents"""
+)
+def prompt_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as image captions; the images of even ids exist."""
+    number = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))
+    block = prompts.image_block(F.col("source"), F.array("lang"), F.col("text"), number)
+    return table(spark, sf_dir, "documents").select("doc_id", block.alias("block"))
+
+
+@query(
+    """SELECT doc_id, lang || ' [SEP] ' || source || ' [SEP] ' || coalesce(source, '') || CASE WHEN doc_id % 2 = 0 THEN ' [SEP] ' || lang ELSE '' END AS text FROM documents"""
+)
+def image_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image components as text; those of even ids have an explanation, none has OCR text."""
+    prefix = T.component_prefix(F.col("lang"), F.array("source"))
+    explained = F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", T.image_text(prefix, F.col("source"), explained, F.lit("")).alias("text"))
+
+
 @query("SELECT page_id, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*?href=[\"'']([^\"'']*)[\"'']', 1) AS h FROM pages)")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_links(table(spark, sf_dir, "pages")).select("page_id", F.col("pos").cast("long").alias("pos"), "href")
@@ -421,7 +458,7 @@ def component_graph_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to numbered components to edges: the index build on crawled markup."""
     made = html.page_components(table(spark, sf_dir, "pages")).where("error is null")
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy("idx")) - 1
-    comps = made.select((F.col("page_id") * 100_000 + rank).alias("component_id"), F.col("page_id").cast("string").alias("doc_title"), F.col("edge").alias("neighbor_titles"))
+    comps = made.select((F.shiftleft("page_id", 32) + rank).alias("component_id"), F.col("page_id").cast("string").alias("doc_title"), F.col("edge").alias("neighbor_titles"))
     return graph.build_edges(comps)
 
 
