@@ -72,8 +72,8 @@ def test_page_components(spark):
     rows = html.page_components(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).collect()
     kinds = [(r.type, r.heading_path) for r in rows if r.page_id == 1]
     assert kinds == [("paragraph", ["A"]), ("paragraph", ["A"]), ("table", ["A"]), ("image", ["A", "Deep"]), ("paragraph", ["A", "B"])]
-    assert rows[0].paragraph == "One link bold" and rows[0].edge == ["Foo_Bar"] and rows[1].paragraph == "- x\n- y\n"
-    assert rows[2].table == [["h", "v [[https://commons.wikimedia.org/wiki/Special:FilePath/P q.png]]"]]
+    assert rows[0].paragraph == "One link bold" and rows[0].edge == ["Foo_Bar"] and rows[1].paragraph == "- x - y"
+    assert rows[2].table == [["h", "v [[https://u/thumb/a/ab/P%20q.png/9px.png]]"]]
     assert rows[3].caption == "cap" and rows[4].paragraph == "two" and rows[5].error == "no components"
 
 
