@@ -14,6 +14,9 @@ LINK = r"\[\[([^\]]+)\]\]"
 IMAGE_FILE = r"(?i)([^\]\s\"\[]+\.(?:png|jpg|jpeg|svg|gif|webp))"
 ANSWER_CALL = r"(?s)f_answers\s*\(\s*\[(.*?)\]\s*\)"
 FILE_PATH = "https://en.wikipedia.org/wiki/Special:FilePath/"
+# Fixed value: abbreviations that end no sentence.
+NOT_AN_END = "Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|vs|No|Vol|Inc|Ltd|Co|etc|e\\.g|i\\.e|cf"
+SENTENCE_END = rf"(?U)(?<!\b(?:{NOT_AN_END}|\p{{Lu}})\.)(?<=[.!?][\"'’”)\]]?)[^\S\n]+(?=[\p{{Lu}}\d\"'‘“(\[])"
 
 
 def strip(c: Column) -> Column:
@@ -129,6 +132,13 @@ def paragraphs(c: Column) -> Column:
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.when(F.length(c) > 0, c).otherwise(F.lit(" "))))
 
 
+def sentences(c: Column) -> Column:
+    """Sentences of each line: they end in `.`, `!` or `?` before white space and a capital, a digit or an opening
+    mark, but not after a usual abbreviation or a single initial. The whole text, or one space, without any."""
+    cut = F.regexp_replace(c, SENTENCE_END, "\n")
+    return paragraphs(cut)
+
+
 def table_for_labels(table: Column) -> Column:
     """All cells without image links, joined by spaces; empty cells dropped."""
     cells = F.transform(F.flatten(table), without_links)
@@ -183,6 +193,15 @@ def prompt_cell(c: Column) -> Column:
     return F.regexp_replace(without_links(c), r"\s*,\s*", " , ")
 
 
+def rate(c: Column) -> Column:
+    return F.format_string("%.4f", c)
+
+
+def percent(c: Column) -> Column:
+    """A share of 100 as a text."""
+    return F.format_string("%.2f%%", c)
+
+
 def scaled_size(width: Column, height: Column, pixels: int = 512 * 512) -> Column:
     """Width and height of at most `pixels` with the ratio kept, rounded half to even."""
     scale = F.sqrt(F.lit(float(pixels)) / (width * height))

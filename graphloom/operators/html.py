@@ -238,7 +238,8 @@ def page_components(pages: DataFrame, id_col: str = "page_id", html_col: str = "
                     out.append({"page_id": page, "error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype="Int32" if n == "idx" else object) for n in names})
 
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")).mapInPandas(rows, SCHEMA)
+    kind = "string" if dict(pages.dtypes)[id_col] == "string" else "long"
+    return pages.select(F.col(id_col).cast(kind).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(rows, SCHEMA.replace("page_id long", f"page_id {kind}"))
 
 
 def page_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import label_text, table_for_labels, tokens, wiki_title
+from ..functions.text import clean_name, label_text, links, table_for_labels, tokens, url_name, wiki_title
+from ..functions.vectors import dot
 
 
 def reference_texts(texts: DataFrame, tables: DataFrame) -> DataFrame:
@@ -36,22 +39,22 @@ def title_components(items: DataFrame, titles: DataFrame, prefix: str) -> DataFr
 
 
 def token_recall(references: DataFrame, candidates: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """(`ref_id`, `cand_id`, `score`): the multiset share of a reference's tokens that a candidate has, for all
+    """(`ref_id`, `on`, `cand_id`, `score`): the multiset share of a reference's tokens that a candidate has, for all
     pairs that share a token (and the columns `on`). Inputs: id, `value`, `on`.
 
     Token counts are aggregated before they meet; the references are the small side.
     """
     on = on or []
     ref = references.select("ref_id", *on, F.explode(tokens(F.col("value"))).alias("t")).groupBy("ref_id", *on, "t").agg(F.count("*").alias("n_ref"))
-    size = references.select("ref_id", F.size(tokens(F.col("value"))).alias("size"))
+    size = references.select("ref_id", *on, F.size(tokens(F.col("value"))).alias("size"))
     needed = ref.select("t").distinct()
     cand = (
         candidates.select("cand_id", *on, F.explode(tokens(F.col("value"))).alias("t"))
         .join(needed, "t", "left_semi")
         .groupBy("cand_id", *on, "t").agg(F.count("*").alias("n_cand"))
     )
-    shared = cand.join(ref, [*on, "t"]).groupBy("ref_id", "cand_id").agg(F.sum(F.least("n_ref", "n_cand")).alias("shared"))
-    return shared.join(size, "ref_id").select("ref_id", "cand_id", (F.col("shared") / F.col("size")).alias("score"))
+    shared = cand.join(ref, [*on, "t"]).groupBy("ref_id", *on, "cand_id").agg(F.sum(F.least("n_ref", "n_cand")).alias("shared"))
+    return shared.join(size, ["ref_id", *on]).select("ref_id", *on, "cand_id", (F.col("shared") / F.col("size")).alias("score"))
 
 
 def best_match(scored: DataFrame, references: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -64,17 +67,67 @@ def best_match(scored: DataFrame, references: DataFrame, candidates: DataFrame)
     )
 
 
+def best_match_within(references: DataFrame, candidates: DataFrame, on: list[str]) -> DataFrame:
+    """As `token_recall` and `best_match`, but among the candidates that agree in the columns `on`; no row for a
+    reference without any. Of equal candidates the smallest id is taken, also where nothing is shared."""
+    scored = token_recall(references, candidates, on)
+    best = scored.groupBy("ref_id", *on).agg(F.max(F.struct("score", (-F.col("cand_id")).alias("c"))).alias("b"))
+    first = candidates.groupBy(*on).agg(F.min("cand_id").alias("first"))
+    return references.select("ref_id", *on).join(first, on).join(best, ["ref_id", *on], "left").select(
+        "ref_id", *on, F.coalesce(-F.col("b.c"), "first").alias("cand_id"), F.coalesce("b.score", F.lit(0.0)).alias("score")
+    )
+
+
 def best_image(references: DataFrame, candidates: DataFrame, score: Column) -> DataFrame:
     """The image of the same title with the largest product; the first in the list of equal ones.
-    `references`: `ref_id`, `title`, `vec`; `candidates`: `cand_id`, `title`, `list_pos`, `cand_vec`."""
+    `references`: `ref_id`, `title`, `vec`; `candidates`: `cand_id`, `title`, `list_pos` (any order), `cand_vec`."""
     pairs = references.join(candidates, "title").withColumn("score", score)
-    return pairs.groupBy("ref_id").agg(F.max(F.struct("score", (-F.col("list_pos")).alias("p"), "cand_id")).alias("b")).select("ref_id", "b.cand_id", "b.score")
+    best = pairs.groupBy("ref_id", "title").agg(F.min(F.struct((-F.col("score")).alias("s"), "list_pos", "cand_id", "score")).alias("b"))
+    return best.select("ref_id", "title", "b.cand_id", "b.score")
+
+
+def image_candidates(components: DataFrame) -> DataFrame:
+    """(`title`, `cand_id`, `list_pos`, `image`): images of documents, of image components and of table cells, by the
+    name of their processed file; `cand_id` is the place of the component in its document."""
+    own = components.where("type = 'image'").select("doc_title", "idx", F.lit(0).alias("at"), F.col("src").alias("link"))
+    cells = F.flatten(F.transform(F.flatten("table"), links))
+    inner = components.where("type = 'table'").select("doc_title", "idx", F.posexplode(cells).alias("at", "link"))
+    return own.unionByName(inner).select(
+        F.col("doc_title").alias("title"), F.col("idx").alias("cand_id"), F.struct("idx", "at").alias("list_pos"), F.concat(url_name(F.col("link")), F.lit(".png")).alias("image")
+    )
+
 
+def label_documents(components: DataFrame, titles: DataFrame, references: DataFrame, images: DataFrame, reference_images: DataFrame) -> DataFrame:
+    """The components of the documents that `titles` lists, with `uuids`, the ids of the items found in them.
 
-def label_components(components: DataFrame, matches: DataFrame) -> DataFrame:
-    """`components` with `uuids`: the ids matched to each, text before table before image."""
+    `titles`: as of `title_components`; `references`: as of `reference_texts`; `images` (`image`, `vector`) and
+    `reference_images` (`ref_id`, `vector`): vectors of processed files and of items. Every item goes to the
+    best component of its kind in its own document; an item without any, or without a vector, goes to none.
+    """
+    listed = titles.withColumn("doc_title", clean_name(F.col("title")))
+    found = components.join(listed.select("doc_title").distinct(), "doc_title", "left_semi")
+    wanted = reduce(DataFrame.unionByName, (listed.select("doc_title", F.lit(k).alias("kind"), F.explode(k).alias("ref_id")) for k in ("text", "table", "image"))).distinct()
+    texts = wanted.join(references.select(F.col("id").alias("ref_id"), "kind", "value"), ["ref_id", "kind"])
+    value = F.when(F.col("type") == "paragraph", F.col("paragraph")).otherwise(table_for_labels(F.col("table")))
+    kind = F.when(F.col("type") == "paragraph", "text").otherwise("table")
+    candidates = found.where("type in ('paragraph', 'table')").select("doc_title", kind.alias("kind"), F.col("idx").alias("cand_id"), label_text(value).alias("value"))
+    matched = best_match_within(texts, candidates, ["doc_title", "kind"]).select("doc_title", "kind", "ref_id", F.col("cand_id").alias("idx"))
+    asked = wanted.where("kind = 'image'").join(reference_images.select("ref_id", F.col("vector").alias("vec")), "ref_id").withColumnRenamed("doc_title", "title")
+    pictures = image_candidates(found).join(images.select("image", F.col("vector").alias("cand_vec")), "image")
+    seen = best_image(asked, pictures, dot(F.col("vec"), F.col("cand_vec")))
+    matches = matched.unionByName(seen.select(F.col("title").alias("doc_title"), F.lit("image").alias("kind"), "ref_id", F.col("cand_id").alias("idx")))
+    return label_components(found, matches, ["doc_title", "idx"])
+
+
+def labelled_ids(titles: DataFrame) -> DataFrame:
+    """One row: `n`, how many ids all titles list."""
+    return titles.agg(F.coalesce(F.sum(F.size("text") + F.size("table") + F.size("image")), F.lit(0)).alias("n"))
+
+
+def label_components(components: DataFrame, matches: DataFrame, key: list[str] = ["component_id"]) -> DataFrame:
+    """`components` with `uuids`: the ids matched to each (by `key`), text before table before image."""
     order = F.array(F.lit("text"), F.lit("table"), F.lit("image"))
-    ids = matches.groupBy("component_id").agg(
+    ids = matches.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct(F.array_position(order, F.col("kind")).alias("k"), "ref_id"))).alias("u")
-    ).select("component_id", F.col("u.ref_id").alias("uuids"))
-    return components.drop("uuids").join(ids, "component_id", "left").withColumn("uuids", F.coalesce("uuids", F.array().cast("array<string>")))
+    ).select(*key, F.col("u.ref_id").alias("uuids"))
+    return components.drop("uuids").join(ids, key, "left").withColumn("uuids", F.coalesce("uuids", F.array().cast("array<string>")))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
+import time
 import unicodedata
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import modality, subqueries
+from ..plans.tables import materialise
 from .prompts import Templates, filled
 
 
@@ -105,7 +108,7 @@ class HttpFetcher:
             return answer.read()  # raises for a bad status
 
 
-def _each(call: Callable[[list[int]], list], rows: list[int]) -> tuple[dict[int, Any], dict[int, str]]:
+def each_row(call: Callable[[list[int]], list], rows: list[int]) -> tuple[dict[int, Any], dict[int, str]]:
     """Results and errors by row: of all rows in one call, or row by row if that fails."""
     try:
         return dict(zip(rows, call(rows), strict=True)), {}
@@ -114,7 +117,7 @@ def _each(call: Callable[[list[int]], list], rows: list[int]) -> tuple[dict[int,
             return {}, {rows[0]: f"{type(e).__name__}: {e}"}
     made, errors = {}, {}
     for r in rows:
-        one, bad = _each(call, [r])
+        one, bad = each_row(call, [r])
         made |= one
         errors |= bad
     return made, errors
@@ -129,7 +132,7 @@ def embedding(model: Embedder, text: Column, image: Column | None = None, box: C
         made, errors = {}, {}
         for name in dict.fromkeys(how):
             rows = [k for k, h in enumerate(how) if h == name or h is None and name is None]
-            one, bad = _each(lambda at: list(model.embed([t[k] for k in at], [i[k] for k in at], [boxes[k] for k in at], name)), rows)  # noqa: B023
+            one, bad = each_row(lambda at: list(model.embed([t[k] for k in at], [i[k] for k in at], [boxes[k] for k in at], name)), rows)  # noqa: B023
             made |= one
             errors |= bad
         return pd.DataFrame({"vector": [made.get(k) for k in range(len(t))], "error": [errors.get(k) for k in range(len(t))]})
@@ -147,7 +150,7 @@ def generated(model: Generator, prompt: Column, images: Column | None = None, ma
     @F.pandas_udf("text string, error string")
     def generate(p: pd.Series, i: pd.Series) -> pd.DataFrame:
         files = [list(x) if x is not None else [] for x in i]
-        made, errors = _each(lambda at: model.generate([p[k] for k in at], [files[k] for k in at], max_tokens), list(range(len(p))))
+        made, errors = each_row(lambda at: model.generate([p[k] for k in at], [files[k] for k in at], max_tokens), list(range(len(p))))
         return pd.DataFrame({"text": [made.get(k, failed) for k in range(len(p))], "error": [errors.get(k) for k in range(len(p))]})
 
     return generate.asNondeterministic()(prompt, F.array().cast("array<string>") if images is None else images)
@@ -156,11 +159,31 @@ def generated(model: Generator, prompt: Column, images: Column | None = None, ma
 def plan_questions(questions: DataFrame, generator: Generator, embedder: Embedder, templates: Templates = Templates(), instructions: dict[str, str] | None = None) -> DataFrame:
     """(`qid`, `i`, `subquery`, `modality`, `embedding`, `error`): sub-queries, where each looks, and their vectors."""
     asked = questions.select("qid", generated(generator, filled(templates.decompose, "query", F.col("question"))).alias("g"))
-    subs = asked.select("qid", F.posexplode(subqueries(F.col("g.text"))).alias("i", "subquery"))
-    kind = subs.withColumn("modality", modality(generated(generator, filled(templates.modality, "subquery", F.col("subquery")))["text"]))
+    subs = asked.select("qid", F.posexplode(subqueries(F.col("g.text"))).alias("i", "subquery"), F.col("g.error").alias("_asked"))
+    told = subs.withColumn("_m", generated(generator, filled(templates.modality, "subquery", F.col("subquery"))))
+    kind = told.withColumn("modality", modality(F.col("_m.text"))).withColumn("_asked", F.coalesce("_asked", "_m.error")).drop("_m")
     names = {m: (instructions or {}).get(m, m) for m in ("text", "table", "image")}
     how = F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("modality"))
-    return kind.withColumn("_e", embedding(embedder, F.col("subquery"), instruction=how)).select("*", F.col("_e.vector").alias("embedding"), "_e.error").drop("_e")
+    return kind.withColumn("_e", embedding(embedder, F.col("subquery"), instruction=how)).select("*", F.col("_e.vector").alias("embedding"), F.coalesce("_asked", "_e.error").alias("error")).drop("_e", "_asked")
+
+
+def cache_questions(questions: DataFrame, generator: Generator, embedder: Embedder, templates: Templates = Templates(), instructions: dict[str, str] | None = None) -> DataFrame:
+    """(`qid`, `question`, `subqueries`, `embedding`, `vectors`, `error`): a row per question, the vectors of its
+    sub-queries stacked in their order. The first failed call of a question is its error, which leaves no vectors."""
+    plan = materialise(plan_questions(questions, generator, embedder, templates, instructions))
+    stacked = plan.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("i", "subquery", "embedding", "error"))).alias("_s"))
+    first_error = F.try_element_at(F.filter(F.col("_s.error"), lambda e: e.isNotNull()), F.lit(1))
+    rows = questions.select("qid", "question").withColumn("_e", embedding(embedder, F.col("question"))).join(stacked, "qid", "left")
+    rows = rows.withColumn("error", F.coalesce("_e.error", first_error))
+    good = F.col("error").isNull()
+    return rows.select(
+        "qid",
+        "question",
+        F.coalesce("_s.subquery", F.array().cast("array<string>")).alias("subqueries"),
+        F.when(good, F.col("_e.vector")).alias("embedding"),
+        F.when(good, F.coalesce("_s.embedding", F.array().cast("array<array<float>>"))).alias("vectors"),
+        "error",
+    )
 
 
 def nfkc(c: Column) -> Column:
@@ -193,8 +216,9 @@ def detections(images: DataFrame, detector: Detector, keep: int = 3, batch: int
     return images.select("image", "content").mapInPandas(rows, "image string, bboxes array<array<int>>, error string")
 
 
-def fetched(urls: DataFrame, fetcher: Fetcher, fallbacks: tuple[str, ...] = ("{url}",)) -> DataFrame:
-    """(`url`, `content`, `error`): the first form of the url in `fallbacks` that answers."""
+def fetched(urls: DataFrame, fetcher: Fetcher, fallbacks: tuple[str, ...] = ("{url}",), delay: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """(`url`, `content`, `error`): the first form of the url in `fallbacks` that answers; `{file}` is its last part.
+    Before each call a random time within `delay` (seconds) passes."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -203,7 +227,8 @@ def fetched(urls: DataFrame, fetcher: Fetcher, fallbacks: tuple[str, ...] = ("{u
                 content, error = None, "no url"
                 for form in fallbacks:
                     try:
-                        content, error = fetcher.fetch(form.format(url=url)), None
+                        time.sleep(random.uniform(*delay))
+                        content, error = fetcher.fetch(form.format(url=url, file=url.rpartition("/")[2])), None
                         break
                     except Exception as e:  # noqa: BLE001
                         error = f"{type(e).__name__}: {e}"
