@@ -4,13 +4,14 @@ Base spans come from one pattern per kind. Positions are found without a UDF: ma
 two control characters, the text is split there, and running sums of the part lengths over a window
 per document and kind are the positions.
 
-The base spans are the seeds of a bootstrap. The word in front of a seed is a lexical pattern; the
-instances of a pattern are the seeds and the other identifier-like tokens (with a digit,
-outside base spans) that follow it anywhere. Patterns and instances form a
-graph that is scored in rounds: a pattern's confidence is the mean score of its distinct instances,
-if at least `min_seeds` different seeds support it; an instance that isn't a seed scores the chance
-that not all of its patterns fail, 1 - prod(1 - confidence). Tokens whose score reaches `accept`, behind a
-pattern of at least that confidence, are added as spans of the kind `found`.
+The base spans are the seeds of a bootstrap. The word in front of an instance, and the two words in front
+of it, are lexical patterns; the instances of a pattern are the seeds and the other identifier-like tokens
+(with a digit, outside base spans) that follow it anywhere. Patterns and instances form a graph that is
+scored in rounds: a pattern's confidence is the share of its distinct instances that are known, if at
+least `min_seeds` of them are. Seeds are known; so is, for a pattern, what another pattern of a
+confidence of at least `accept` has found in the round before. So found identifiers support new patterns,
+but never the one that found them, and confidences only grow: rounds end when no more patterns are
+accepted. Tokens behind an accepted pattern are added as spans of the kind `found`.
 
 Scale: only matches, part lengths and context words leave the scan, not texts. Edges of the graph are
 distinct pairs, aggregated before they are shuffled; a popular pattern is a large key of equi-joins
@@ -19,6 +20,8 @@ that Spark can split.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +52,11 @@ def _split(text: Column, kind: str) -> Column:
 
 def _parts(kind: str) -> Column:
     """The parts in column `kind` as an array of (kind number, index, length, value), where the value of an
-    even part is the word that ends it. Empty without a match."""
+    even part is the one or two words that end it. Empty without a match."""
 
     def part(p: Column, i: Column) -> Column:
-        word = F.lower(F.regexp_extract(p, r"(?<!\S)(\S++)\s*+$", 1))
+        words = F.regexp_extract(p, r"(?<!\S)((?:\S++\s++)?\S++)\s*+$", 1)
+        word = F.lower(F.regexp_replace(words, r"\s++", " "))
         return F.struct(
             F.lit(KINDS.index(kind)).alias("k"), i.alias("i"), F.length(p).cast("long").alias("n"), F.when(i % 2 == 1, p).otherwise(word).alias("v")
         )
@@ -83,7 +87,7 @@ def _holds(kind: Column, value: Column) -> Column:
 
 
 def matches(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows (`_row`, `_id`), and their matches that hold: `_row`, `k`, `start`, `stop`, `value`, `left` (the word in front)."""
+    """The rows (`_row`, `_id`), and their matches that hold: `_row`, `k`, `start`, `stop`, `value`, `left` (one or two words in front)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     clean = F.when(F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE)), F.translate(text, _OPEN + _CLOSE, _PLAIN * 2)).otherwise(text)
     slim = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), clean.alias("_text"))
@@ -133,38 +137,41 @@ def _candidates(placed: DataFrame) -> DataFrame:
     )
 
 
-def score_graph(edges: DataFrame, rounds: int, min_seeds: int) -> tuple[DataFrame, DataFrame]:
-    """`edges`: distinct (`left`, `value`) with `seed` (of the value). Returns pattern and instance scores."""
-    scores = edges.select("value", F.col("seed").cast("double").alias("score")).distinct()
-    patterns = None
-    for _ in range(rounds):
+def _contexts(left: str) -> Column:
+    """The patterns of the words in front: the last one, and both."""
+    return F.array_distinct(F.array(F.element_at(F.split(left, " "), -1), F.col(left)))
+
+
+def score_graph(edges: DataFrame, min_seeds: int, accept: float, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """`edges`: distinct (`left`, `value`) with `seed` (of the value). Returns the patterns that enough known instances
+    support (`left`, `confidence`) and the instances' scores (`value`, `score`): 1 for a seed, else the chance
+    that not all of its patterns fail, 1 - prod(1 - confidence)."""
+    known, before = edges.withColumn("_known", F.col("seed")), 0
+    for _ in count() if rounds is None else range(rounds):
         patterns = materialise(
-            edges.join(scores, "value")
-            .groupBy("left")
-            .agg(F.avg("score").alias("confidence"), F.count_if("seed").alias("seeds"))
-            .where(F.col("seeds") >= min_seeds)
+            known.groupBy("left")
+            .agg(F.avg(F.col("_known").cast("double")).alias("confidence"), F.count_if("_known").alias("_n"))
+            .where(F.col("_n") >= min_seeds)
             .select("left", "confidence")
         )
-        scores = materialise(
-            edges.join(patterns, "left")
-            .groupBy("value")
-            .agg(
-                F.max("seed").alias("seed"),
-                F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence")))).alias("_miss"),
-            )
-            .select("value", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("_miss")).alias("score"))
-            .unionByName(edges.where("seed").select("value", F.lit(1.0).alias("score")).distinct())
-            .groupBy("value")
-            .agg(F.max("score").alias("score"))
-        )
-    return patterns, scores
+        accepted = patterns.where(F.col("confidence") >= accept).select("left")
+        now = accepted.count()
+        if now == before:
+            break
+        before = now
+        found = edges.where("not seed").join(accepted, "left", "left_semi").groupBy("value").agg(F.count(F.lit(1)).alias("_by"))
+        known = edges.join(found, "value", "left").join(accepted.withColumn("_own", F.lit(1)), "left", "left")
+        known = known.select("left", "value", (F.col("seed") | (F.coalesce("_by", F.lit(0)) - F.coalesce("_own", F.lit(0)) > 0)).alias("_known"))
+    miss = F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.coalesce("confidence", F.lit(0.0)))))
+    scores = edges.join(patterns, "left", "left").groupBy("value").agg(F.max("seed").alias("_seed"), miss.alias("_miss"))
+    return patterns, scores.select("value", F.when(F.col("_seed"), 1.0).otherwise(1 - F.exp("_miss")).alias("score"))
 
 
 def find_personal_data(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rounds: int = 3,
+    rounds: int | None = None,
     min_seeds: int = 3,
     accept: float = 0.8,
 ) -> DataFrame:
@@ -172,21 +179,17 @@ def find_personal_data(
     kind as in `KINDS`, then start; positions are code points, half-open.
 
     Null texts are empty. The control characters U+0001 and U+0002 are read as U+0003, which changes
-    no position. A seed or token at the start of a text has no pattern.
+    no position. A seed or token at the start of a text has no pattern. `rounds`: how many at most; by
+    default until nothing changes, at the latest when all patterns are accepted.
     """
     rows, placed = matches(docs, id_col, text_col)
     spans = materialise(_candidates(placed))
-    with_left = spans.where("left is not null and left <> ''")
-    edges = materialise(with_left.groupBy("left", "value").agg(F.max("seed").alias("_seed")).join(
-        spans.groupBy("value").agg(F.max("seed").alias("seed")), "value"
-    ).select("left", "value", "seed"))
-    patterns, scores = score_graph(edges, rounds, min_seeds)
-    added = (
-        with_left.where("not seed")
-        .join(patterns.where(F.col("confidence") >= accept).select("left"), "left", "left_semi")
-        .join(scores.where(F.col("score") >= accept).select("value"), "value", "left_semi")
-        .select(*spans.columns)
-    )
+    behind = spans.where("left is not null and left <> ''").withColumn("left", F.explode(_contexts("left")))
+    seeds = spans.groupBy("value").agg(F.max("seed").alias("seed"))
+    edges = materialise(behind.select("left", "value").distinct().join(seeds, "value").select("left", "value", "seed"))
+    patterns, _ = score_graph(edges, min_seeds, accept, rounds)
+    accepted = patterns.where(F.col("confidence") >= accept).select("left")
+    added = behind.where("not seed").join(accepted, "left", "left_semi").dropDuplicates(["_row", "start"]).select(*spans.columns)
     span = F.struct("k", "start", "stop", "value")
     per_row = (
         spans.where("seed").unionByName(added).groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("_spans"))  # of one text

@@ -327,9 +327,44 @@ def test_linear_time_on_hostile_texts(spark):
 
 def test_pattern_scores(spark):
     edges = spark.createDataFrame([("p", f"s{i}", True) for i in range(8)] + [("p", "new", False), ("q", "new", False), ("q", "s0", True)], "left string, value string, seed boolean")
-    patterns, scores = score_graph(edges, 2, 3)
-    assert [r.left for r in patterns.collect()] == ["p"]  # q has one seed only
-    assert {r.value: r.score for r in scores.collect()}["new"] > 0.8
+    patterns, scores = score_graph(edges, 3, 0.8)
+    assert [(r.left, r.confidence) for r in patterns.collect()] == [("p", 8 / 9)]  # q has two known instances only
+    assert {r.value: r.score for r in scores.collect()} == {"new": pytest.approx(8 / 9), **{f"s{i}": 1.0 for i in range(8)}}
+
+
+def test_pattern_scores_are_those_of_sets(spark):
+    rnd = random.Random(8)
+    for least, accept in ((2, 0.6), (1, 0.5), (3, 0.8)):
+        pairs = {(f"p{rnd.randrange(12)}", f"v{rnd.randrange(40)}") for _ in range(110)}
+        seeds = {f"v{i}" for i in range(18)}
+        accepted: set[str] = set()
+        while True:
+            found = {}
+            for p in {p for p, _ in pairs}:
+                own = [v for q, v in pairs if q == p]
+                known = [v for v in own if v in seeds or any((q, v) in pairs for q in accepted - {p})]
+                if len(known) >= least:
+                    found[p] = len(known) / len(own)
+            now = {p for p, c in found.items() if c >= accept}
+            if now == accepted:
+                break
+            assert now > accepted
+            accepted = now
+        edges = spark.createDataFrame([(p, v, v in seeds) for p, v in sorted(pairs)], "left string, value string, seed boolean")
+        patterns, scores = score_graph(edges, least, accept)
+        assert {r.left: r.confidence for r in patterns.collect()} == pytest.approx(found)
+        for r in scores.collect():
+            fails = [1 - found[p] for p, v in pairs if v == r.value and p in found]
+            assert r.score == pytest.approx(1.0 if r.value in seeds else 1 - np.prod(fails), abs=1e-9)
+
+
+def test_found_identifiers_support_new_patterns(spark):
+    rows = [(i, f"mailbox a{i}@b.cc") for i in range(9)] + [(9, "mailbox u7 and"), (10, "mailbox u8")]
+    rows += [(20, "account u7"), (21, "account u8"), (22, "account c@d.ee"), (23, "so account q9 is"), (24, "in 1984"), (25, "in 2001")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once, all_rounds = ({r.doc_id: r.spans for r in personal_data_digest(find_personal_data(docs, rounds=n, accept=0.75)).collect()} for n in (1, None))
+    assert once[9] == "found:8:10" and once[20] == once[23] == ""  # one seed of four instances
+    assert all_rounds[20] == "found:8:10" and all_rounds[23] == "found:11:13" and all_rounds[24] == "" and all_rounds[9] == "found:8:10"
 
 
 @pytest.mark.parametrize("how", [{}, {"block_bytes": 300}, {"shard_bytes": 200}])
