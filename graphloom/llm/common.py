@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -22,10 +24,23 @@ def held(owner: Any, make: Callable[[], Any]) -> Any:
     operator gives back what the one before had stored."""
     if owner not in _HELD:
         _HELD.clear()
+        give_back()
         _HELD[owner] = make()
     return _HELD[owner]
 
 
+def give_back() -> None:
+    """Returns the memory that a Python worker has freed to the system, as the worker lives on beside the JVM and
+    other workers. Allocators keep it otherwise."""
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

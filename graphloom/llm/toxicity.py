@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, materialise, small_batches
+from .common import give_back, held, materialise, small_batches
 from .decontamination import words_of
 
 SEED = 7
@@ -160,6 +160,7 @@ def train(
             cells = [text_cells(words_of(t.encode()), known) for t in pdf["_text"]]
             own = {"_cols": [c.tobytes() for c, _ in cells], "_values": [v.tobytes() for _, v in cells]}
             yield pd.DataFrame({"_order": pdf["_order"], "_grade": pdf["_grade"], **own})
+        give_back()
 
     source = found.select(F.xxhash64(F.lit(SEED), "_label", "_text").alias("_order"), "_grade", "_text")
     cells = materialise(source.mapInPandas(emit, "_order long, _grade int, _cols binary, _values binary"))
@@ -179,6 +180,8 @@ def train(
         names, cols = _numbered(feature)
         del feature
         model = fit_severity(rows, cols, value, grades, names, **how)
+        del rows, cols, value, names
+        give_back()
         at, by = np.array(list(model.weights), np.uint64).view(np.int64), list(model.weights.values())
         # thresholds go in front, at the places of their grades
         yield pd.DataFrame({"_threshold": [True] * len(model.thresholds) + [False] * len(at), "_at": [*range(len(model.thresholds)), *at], "_by": [*model.thresholds, *by]})
