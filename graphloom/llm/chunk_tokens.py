@@ -8,6 +8,7 @@ at most `limit` chunks each, and chunks of over `longest` characters are not kep
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterable
 from typing import Any
@@ -27,6 +28,24 @@ def id_counts(ids: np.ndarray, ends: np.ndarray) -> list[int]:
     return (np.diff(np.concatenate(([-1], ends, [len(ids)]))) - 1).tolist()
 
 
+def _byte_sizes(tokenizer: Any) -> np.ndarray | None:
+    """The bytes of each token of a byte-level vocabulary with its usual pattern, which writes a byte as one
+    character; None for any other."""
+    rules = json.loads(tokenizer.to_str())
+    before = rules["pre_tokenizer"] or {}
+    if rules["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+    for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+        sizes[i] = len(token)
+    return sizes
+
+
+def _in_order(first: list[bool], yes: list, no: list) -> list:
+    some, others = iter(yes), iter(no)
+    return [next(some) if f else next(others) for f in first]
+
+
 class ChunkStore:
     """`value`: id_bytes or id_counts."""
 
@@ -38,13 +57,36 @@ class ChunkStore:
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = [t.content for t in added.values()]
         self.separator = next(((i, t.content) for i, t in added.items() if not (t.lstrip or t.rstrip or t.normalized or t.single_word)), None)
+        self.sizes = _byte_sizes(self.tokenizer)
         self.value, self.limit, self.longest = value, limit, longest
         self.young: dict = {}
         self.old: dict = {}
 
     def encode(self, texts: list[str]) -> list[Any]:
-        """The values of whole texts. Many texts go through in one call, a special string between them:
-        special strings are found first, so what is between two of them is tokenised on its own."""
+        """The values of whole texts, of many in one call."""
+        joins = [self.sizes is not None and len(t) > 1 and t[0] == " " and not t[1].isspace() for t in texts]
+        return _in_order(joins, self._joined([t for t, j in zip(texts, joins) if j]), self._separated([t for t, j in zip(texts, joins) if not j]))
+
+    def _joined(self, texts: list[str]) -> list[Any]:
+        """Of texts that a byte-level vocabulary cuts off from whatever is in front of them: they are put together
+        as they are, and the tokens' bytes tell which of them are whose."""
+        out: list[Any] = []
+        for at in range(0, len(texts), 5000):
+            part = texts[at : at + 5000]
+            runs = ["".join(part[i : i + 100]) for i in range(0, len(part), 100)]
+            if self.separator and not any(s in r for s in self.special for r in runs):
+                ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
+                have, need = np.cumsum(self.sizes[ids]), np.cumsum([len(t.encode()) for t in part])
+                ends = np.searchsorted(have, need) + 1
+                if np.array_equal(have[ends - 1], need):
+                    out += self.value(np.insert(ids, ends[:-1], self.separator[0]), ends[:-1] + np.arange(len(part) - 1))
+                    continue
+            out += self._separated(part)
+        return out
+
+    def _separated(self, texts: list[str]) -> list[Any]:
+        """Of any texts, a special string between them: special strings are found first, so what is between two
+        of them is tokenised on its own."""
         out: list[Any] = []
         for at in range(0, len(texts), 5000):
             part = texts[at : at + 5000]
