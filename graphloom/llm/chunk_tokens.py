@@ -31,9 +31,8 @@ def id_counts(ids: np.ndarray, ends: np.ndarray) -> list[int]:
 def _byte_sizes(tokenizer: Any) -> np.ndarray | None:
     """The bytes of each token of a byte-level vocabulary with its usual pattern, which writes a byte as one
     character; None for any other."""
-    rules = json.loads(tokenizer.to_str())
-    before = rules["pre_tokenizer"] or {}
-    if rules["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+    before = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
+    if tokenizer.normalizer or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
         return None
     sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)
     for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
