@@ -8,8 +8,9 @@ Burrows-Wheeler transform in a wavelet tree with rank counts, and suffix positio
 `SAMPLE` places. All windows are searched backwards at once, one word a step; occurrences are located
 by walking to the next sampled position; their spans are merged per document.
 
-The windows are sent to all tasks in blocks of items of at most `block_bytes`; a larger benchmark
-is searched in several indexes whose spans are merged, so no broadcast grows with it.
+The windows are sent to all tasks in blocks of items of about `block_bytes` of text. A larger benchmark
+is dealt to several blocks, one after the other: a block's windows are destroyed before the next one is
+read, so neither a broadcast nor the driver's memory grows with the benchmark. An item is never split.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
@@ -37,21 +39,37 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The windows of a block of items: `ids` numbers the words from 2 (1 separates, 0 ends)."""
+    """The windows of a block of items, as numbers: `ids` numbers the words from 2 (1 separates, 0 ends), `table`
+    has a window a row, and window `w` is in the items `items[i]` for `i` in `owners[first[w] : first[w + 1]]`."""
 
     def __init__(self, items: list[tuple[str, bytes]], width: int = WINDOW) -> None:
         self.ids: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        self.items = sorted({item for item, _ in items})
+        number = {item: i for i, item in enumerate(self.items)}
+        rows, owner = [np.zeros((0, width), np.int32)], [np.zeros(0, np.int32)]
         for item, text in items:
-            words = [self.ids.setdefault(w, len(self.ids) + 2) for w in words_of(text)]
-            for i in range(max(1, len(words) - width + 1) if words else 0):
-                owners.setdefault(tuple(words[i : i + width]), set()).add(item)
-        self.windows = sorted(owners, key=len)
-        self.owners = [sorted(owners[w]) for w in self.windows]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.table = np.zeros((len(self.windows), max(self.lengths, default=1)), np.int64)
-        for row, w in enumerate(self.windows):
-            self.table[row, -len(w) :] = w  # to the right: the search goes from there
+            words = np.array([self.ids.setdefault(w, len(self.ids) + 2) for w in words_of(text)], np.int32)
+            if not len(words):
+                continue
+            if len(words) < width:  # to the right: the search goes from there
+                words = np.concatenate((np.zeros(width - len(words), np.int32), words))
+            rows.append(np.lib.stride_tricks.sliding_window_view(words, width))
+            owner.append(np.full(len(rows[-1]), number[item], np.int32))
+        every, whose = np.ascontiguousarray(np.concatenate(rows)), np.concatenate(owner)
+        by = np.lexsort((whose, *every.T[::-1]))
+        every, whose = every[by], whose[by]
+        fresh = np.ones(len(every), bool)
+        fresh[1:] = (every[1:] != every[:-1]).any(axis=1)
+        again = ~fresh
+        again[1:] &= whose[1:] == whose[:-1]
+        self.table = every[fresh]
+        self.lengths = (self.table > 0).sum(axis=1)
+        self.owners = whose[~again]
+        self.first = np.append(np.flatnonzero(fresh[~again]), len(self.owners))
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        own = np.unique(np.concatenate([self.owners[self.first[w] : self.first[w + 1]] for w in windows]))
+        return [self.items[i] for i in own]
 
 
 class FMIndex:
@@ -143,7 +161,7 @@ def scan_shard(texts: list[bytes], windows: Windows) -> list[tuple[int, list[tup
     lists = [words_of(t) for t in texts]
     sizes = np.array([len(w) for w in lists], np.int64)
     out = [(int(n), [], []) for n in sizes]
-    if not len(windows.windows) or not sizes.sum():
+    if not len(windows.table) or not sizes.sum():
         return out
     flat = np.fromiter((i for w in lists for i in map(windows.ids.get, w, repeat(1))), np.int64, int(sizes.sum()))
     doc = np.repeat(np.arange(len(texts)), sizes)
@@ -178,30 +196,30 @@ def scan_shard(texts: list[bytes], windows: Windows) -> list[tuple[int, list[tup
     for part in np.split(by, np.flatnonzero(np.diff(owner[by])) + 1):
         d = int(owner[part[0]])
         start = at[part] - first[d]
-        items = sorted({i for w in np.unique(which[part]) for i in windows.owners[w]})
+        items = windows.items_of(np.unique(which[part]))
         out[d] = (int(sizes[d]), merged(start, start + windows.lengths[which[part]]), items)
     return out
 
 
-def scanners(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, shard_bytes: int = 4 << 20, block_bytes: int = 32 << 20) -> list[Callable[[Column], Column]]:
-    """For each block of items a function from a text column to a struct of `n_words`, `spans` and `items`."""
-    spark = benchmark.sparkSession
-    small_batches(spark)
+def blocks_of_items(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20) -> list[DataFrame]:
+    """The different items (`item`, `text`) in blocks of about `block_bytes`, dealt by hash."""
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")
     )
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     if total <= block_bytes:
-        return [_scanner(spark, items.collect(), width, shard_bytes)]
-    blocks = materialise(
-        items.withColumn("_block", F.expr(f"cast(sum(octet_length(text) + 64) over (order by item, text) div {block_bytes} as int)"))
-    )
-    numbers = [r[0] for r in blocks.select("_block").distinct().orderBy("_block").collect()]
-    return [_scanner(spark, blocks.where(F.col("_block") == b).select("item", "text").collect(), width, shard_bytes) for b in numbers]
+        return [items]
+    many = int(total // block_bytes) + 1
+    dealt = items.distinct().withColumn("_block", F.pmod(F.xxhash64("item", "text"), F.lit(many)))
+    dealt = materialise(dealt.repartition("_block").sortWithinPartitions("_block"))
+    return [dealt.where(F.col("_block") == b).select("item", "text") for b in range(many)]
 
 
-def _scanner(spark: SparkSession, rows: list, width: int, shard_bytes: int) -> Callable[[Column], Column]:
-    windows = spark.sparkContext.broadcast(Windows([(r[0], r[1].encode()) for r in rows], width))
+def _scanner(items: DataFrame, width: int, shard_bytes: int) -> tuple[Broadcast, Callable[[Column], Column]]:
+    """The windows of a block's items, and a function from a text column to a struct of `n_words`, `spans` and `items`."""
+    spark = items.sparkSession
+    small_batches(spark)
+    windows = spark.sparkContext.broadcast(Windows([(r[0], r[1].encode()) for r in items.collect()], width))
 
     @F.pandas_udf("n_words long, spans array<struct<start:long,stop:long>>, items array<string>")
     def scan(text: pd.Series) -> pd.DataFrame:
@@ -223,10 +241,12 @@ def _scanner(spark: SparkSession, rows: list, width: int, shard_bytes: int) -> C
             }
         )
 
-    return lambda text: scan(F.coalesce(text, F.lit("")))
+    return windows, lambda text: scan(F.coalesce(text, F.lit("")))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, shard_bytes: int = 4 << 20, **how
+) -> DataFrame:
     """One row per input row: the id, `n_words`, `spans` (merged half-open word spans that lie in
     occurrences of a window) and `items` (ids of the items with occurring windows, as sorted strings).
 
@@ -234,24 +254,51 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     without words has none. Null texts have no words; a null item id is named ''. Repeated items
     count once. Without items no word is hit.
     """
-    scans = scanners(benchmark, **how)
-    found = docs.select(F.col(id_col).alias("_id"), *(scan(F.col(text_col)).alias(f"_b{i}") for i, scan in enumerate(scans)))
-    if len(scans) == 1:
-        return found.select(F.col("_id").alias(id_col), "_b0.*")
-    every = [f"_b{i}" for i in range(len(scans))]
-    sorted_spans = found.withColumn("_spans", F.array_sort(F.concat(*(F.col(f"{b}.spans") for b in every))))
-    return sorted_spans.select(
+    blocks = blocks_of_items(benchmark, **how)
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    if len(blocks) == 1:
+        _, scan = _scanner(blocks[0], width, shard_bytes)
+        return slim.select(F.col("_id"), scan(F.col("_text")).alias("_b")).select(F.col("_id").alias(id_col), "_b.*")
+    # several blocks: rows get numbers, and only the rows that a block hits go on from it
+    slim = materialise(slim.withColumn("_row", F.monotonically_increasing_id()))
+    hits = []
+    for block in blocks:
+        windows, scan = _scanner(block, width, shard_bytes)
+        found = slim.select("_id", "_row", scan(F.col("_text")).alias("_b")).select("_id", "_row", "_b.*")
+        if not hits:
+            counted = found = materialise(found)
+            hits.append(found.where(F.size("spans") > 0).select("_row", "spans", "items"))
+        else:
+            hits.append(materialise(found.where(F.size("spans") > 0).select("_row", "spans", "items")))
+        windows.destroy()
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.unionByName(more)
+    merged_hits = every.groupBy("_row").agg(  # of one row, from each block once
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"),
+    )
+    none = counted.select("_id", "_row", "n_words").join(merged_hits, "_row", "left")
+    return none.select(
         F.col("_id").alias(id_col),
-        F.col("_b0.n_words").alias("n_words"),
-        _merged_column("_spans").alias("spans"),
-        F.array_sort(F.array_distinct(F.concat(*(F.col(f"{b}.items") for b in every)))).alias("items"),
+        "n_words",
+        F.coalesce(_merged_column("_spans"), F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")).alias("spans"),
+        F.coalesce("_items", F.expr("cast(array() as array<string>)")).alias("items"),
     )
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """The rows of `docs` without a hit word, all columns as they were; no shuffle."""
-    for scan in scanners(benchmark, **how):
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WINDOW, shard_bytes: int = 4 << 20, **how
+) -> DataFrame:
+    """The rows of `docs` without a hit word, all columns as they were; no shuffle. Odd input is treated as in
+    `find_contamination`. Between two blocks of a larger benchmark the rows that are left are written."""
+    blocks = blocks_of_items(benchmark, **how)
+    for i, block in enumerate(blocks):
+        windows, scan = _scanner(block, width, shard_bytes)
         docs = docs.where(F.size(scan(docs[text_col])["spans"]) == 0)
+        if i + 1 < len(blocks):
+            docs = materialise(docs)
+            windows.destroy()
     return docs
 
 
