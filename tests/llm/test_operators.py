@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from graphloom.llm import queries
 from graphloom.llm.chunk_tokens import ChunkStore, id_bytes, id_counts, space_chunks
 from graphloom.llm.components import connected_components
-from graphloom.llm.decontamination import contamination_digest, find_contamination
+from graphloom.llm.decontamination import contamination_digest, find_contamination, without_contaminated
 from graphloom.llm.exact_dedup import exact_dedup
 from graphloom.llm.packing import fullest, pack, plan_bins
 from graphloom.llm.personal_data import find_personal_data, personal_data_digest, score_graph
@@ -392,6 +392,20 @@ def test_contamination(spark, how):
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
+def test_contamination_in_blocks_is_that_of_one_block(spark):
+    rnd = random.Random(9)
+    text = lambda n: " ".join(rnd.choice(["ab", "cd", "ef", "é1"]) for _ in range(n))
+    items = [(str(i % 7), text(rnd.choice([0, 2, 10, 13]))) for i in range(15)] + [(None, "lone words"), (None, None), ("a,b", "cd cd")]
+    docs = [(rnd.choice([None, 1, 2, 3]), text(rnd.randint(0, 30)) if i % 9 else None, i) for i in range(60)] + [(4, "nothing here", 60), (4, "see lone words", 61)]
+    docs = spark.createDataFrame(docs + docs[:5], "doc_id long, text string, _row int")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    one, several = find_contamination(docs, bench), find_contamination(docs, bench, block_bytes=200)
+    assert rows(one) == rows(several) and len(rows(one)) == 67
+    kept = rows(without_contaminated(docs, bench))
+    assert kept == rows(without_contaminated(docs, bench, block_bytes=200)) and 0 < len(kept) == one.where("size(spans) = 0").count() < 67
+
+
 def test_suffix_order_and_prefixes():
     rnd = random.Random(7)
     for _ in range(30):
