@@ -18,6 +18,7 @@ from .suffix_dedup import repeated_passages
 from .token_counts import token_counts
 from .toxicity import score_toxicity
 from .url_filters import judge_urls
+from .vector_codes import code_digest, compress_vectors
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -68,6 +69,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_digest(compress_vectors(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts,
@@ -80,11 +85,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_best_fit_packing,
         op10_exact_dedup,
+        op11_vector_codes,
     )
 }
 
 _RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
+_ROUNDS_SQL = "".join(
+    f"""
+        a{r} AS (
+          SELECT x.vec_id, x.part, min_by(c.entry, d.far * 64 + c.entry) AS entry, min(d.far) AS far
+          FROM x JOIN c{r} c USING (part), LATERAL (
+            SELECT (x.x0 - c.x0) ** 2 + (x.x1 - c.x1) ** 2 + (x.x2 - c.x2) ** 2 + (x.x3 - c.x3) ** 2 AS far0), LATERAL (
+            SELECT CAST(far0 AS BIGINT) AS far) d
+          GROUP BY ALL),"""
+    + f"""
+        c{r + 1} AS (
+          SELECT c.part, c.entry, coalesce(m.x0, c.x0) AS x0, coalesce(m.x1, c.x1) AS x1, coalesce(m.x2, c.x2) AS x2, coalesce(m.x3, c.x3) AS x3
+          FROM c{r} c LEFT JOIN (
+            SELECT part, entry, {", ".join(f"CAST(floor(sum(x{i}) / count(*)) AS BIGINT) AS x{i}" for i in range(4))}
+            FROM x JOIN a{r} USING (vec_id, part) GROUP BY ALL) m USING (part, entry)),"""
+    * (r < 2)
+    for r in range(3)
+)
+
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filters": rf"""
         WITH u AS (
@@ -103,4 +127,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op11_vector_codes": f"""
+        WITH k AS (
+          SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+        x AS (
+          SELECT vec_id, part, v[4 * part + 1] AS x0, v[4 * part + 2] AS x1, v[4 * part + 3] AS x2, v[4 * part + 4] AS x3
+          FROM k, range(16) t(part)),
+        c0 AS (
+          SELECT part, entry, x0, x1, x2, x3
+          FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT 64) USING (vec_id)),{_ROUNDS_SQL}
+        s AS (SELECT sha256(string_agg(concat_ws(',', x0, x1, x2, x3), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2),
+        e AS (SELECT vec_id, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a2 GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM e JOIN k USING (vec_id), s""",
 }
