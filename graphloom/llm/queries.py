@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import contamination_digest, find_contamination
 from .exact_dedup import exact_dedup
 from .packing import pack
+from .periodic_runs import periodic_runs, planted_run, run_digest
 from .personal_data import find_personal_data, personal_data_digest
 from .sharding import shard_rows
 from .simhash import near_duplicates
@@ -73,6 +75,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_digest(compress_vectors(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return run_digest(periodic_runs(table(spark, sf_dir, "documents"), change=planted_run, change_by=seed))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts,
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_best_fit_packing,
         op10_exact_dedup,
         op11_vector_codes,
+        op12_periodic_runs,
     )
 }
 
