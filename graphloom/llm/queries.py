@@ -17,6 +17,7 @@ from .personal_data import find_personal_data, personal_data_digest
 from .sharding import shard_rows
 from .simhash import near_duplicates
 from .suffix_dedup import repeated_passages
+from .tiered_packing import pack_tiers
 from .token_counts import token_counts
 from .toxicity import score_toxicity
 from .url_filters import judge_urls
@@ -80,6 +81,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(periodic_runs(table(spark, sf_dir, "documents"), change=planted_run, change_by=seed))
 
 
+def op13_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_tiers(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), tiers=(2048, 1024, 512, 256), end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_exact_dedup,
         op11_vector_codes,
         op12_periodic_runs,
+        op13_tiered_packing,
     )
 }
 
