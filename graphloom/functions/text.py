@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 LABEL_PUNCTUATION = r"[.,!?;:\"'()\[\]{}…~\-—–_/<>《》〈〉·※ㆍ「」『』]"
 # Fixed value: ASCII punctuation that answers lose.
 ANSWER_PUNCTUATION = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
-# Image links in text, image file names, the answer call, and where original image files are.
+# Image links in text, endings of image files, the answer call, and where original image files are.
 LINK = r"\[\[([^\]]+)\]\]"
-IMAGE_FILE = r"(?i)([^\]\s\"\[]+\.(?:png|jpg|jpeg|svg|gif|webp))"
+IMAGE_FILE = r"(?i)\.(?:png|jpg|jpeg|svg|gif|webp)$"
 ANSWER_CALL = r"(?s)f_answers\s*\(\s*\[(.*?)\]\s*\)"
 FILE_PATH = "https://en.wikipedia.org/wiki/Special:FilePath/"
 # Fixed value: abbreviations that end no sentence.
@@ -89,10 +89,24 @@ def without_links(c: Column) -> Column:
     return strip(F.regexp_replace(c, LINK, ""))
 
 
-def image_links(c: Column, prefix: str = FILE_PATH) -> Column:
-    """The urls of all image files that a text names, distinct and in order."""
-    found = F.regexp_extract_all(c, F.lit(IMAGE_FILE), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda name: F.concat(F.lit(prefix), strip(name)))))
+def url_part(c: Column) -> Column:
+    """Percent-encoded, as one part of a url's path."""
+    return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+
+
+def image_urls(components: Column, prefix: str = FILE_PATH) -> Column:
+    """The urls of all image files that components (`src`, `caption`, `paragraph`, `table`) name, distinct and in order: in `src`, or as
+    [[...]] in a text or a table cell. A name without an address is a file at `prefix`."""
+    texts = F.flatten(F.transform(components, lambda c: F.concat(F.array(c["caption"], c["paragraph"]), F.coalesce(F.flatten(F.filter(c["table"], lambda r: r.isNotNull())), F.array().cast("array<string>")))))
+    named = F.flatten(F.transform(F.filter(texts, lambda t: t.isNotNull()), links))
+    sources = F.filter(F.transform(components, lambda c: c["src"]), lambda s: s.isNotNull())
+    files = F.filter(F.transform(F.concat(sources, named), strip), lambda n: F.regexp_like(n, F.lit(IMAGE_FILE)))
+
+    def address(name: Column) -> Column:
+        whole = F.when(F.startswith(name, F.lit("//")), F.concat(F.lit("https:"), name)).otherwise(name)
+        return F.when(F.contains(whole, F.lit("://")), whole).otherwise(F.concat(F.lit(prefix), F.regexp_replace(whole, r"^(\./)?File:", "")))
+
+    return F.array_sort(F.array_distinct(F.transform(files, address)))
 
 
 def file_path_url(resource: Column, src: Column, prefix: str = FILE_PATH) -> Column:

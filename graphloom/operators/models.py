@@ -1,4 +1,4 @@
-"""Model operators behind small protocols: embedding, generation, detection and fetching.
+"""Model operators behind small protocols: embedding, generation and detection.
 
 Any object with the protocol's method can be used. Here are deterministic stand-ins that need no
 network, and clients of HTTP services. A failing call gives an error column, never a failed job.
@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import random
-import time
 import unicodedata
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -21,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import modality, subqueries
-from ..plans.tables import materialise
+from ..tables import materialise
 from .prompts import Templates, filled
 
 
@@ -37,10 +35,6 @@ class Detector(Protocol):
     def detect(self, images: list[bytes]) -> list[list[tuple[float, list[int]]]]: ...
 
 
-class Fetcher(Protocol):
-    def fetch(self, url: str) -> bytes: ...
-
-
 class HashEmbedder:
     """Unit vectors from hashed words and the image's name; equal input, equal vector."""
 
@@ -99,15 +93,6 @@ class HttpService:
         return [self._post("/generate", {"text": p, "img_paths": i, "max_tokens": max_tokens})["text"] for p, i in zip(prompts, images)]
 
 
-class HttpFetcher:
-    def __init__(self, agent: str = "graphloom", timeout: float = 15.0) -> None:
-        self.agent, self.timeout = agent, timeout
-
-    def fetch(self, url: str) -> bytes:
-        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": self.agent}), timeout=self.timeout) as answer:
-            return answer.read()  # raises for a bad status
-
-
 def each_row(call: Callable[[list[int]], list], rows: list[int]) -> tuple[dict[int, Any], dict[int, str]]:
     """Results and errors by row: of all rows in one call, or row by row if that fails."""
     try:
@@ -214,25 +199,3 @@ def detections(images: DataFrame, detector: Detector, keep: int = 3, batch: int
                     yield pd.DataFrame({"image": part["image"], "bboxes": None, "error": f"{type(e).__name__}: {e}"})
 
     return images.select("image", "content").mapInPandas(rows, "image string, bboxes array<array<int>>, error string")
-
-
-def fetched(urls: DataFrame, fetcher: Fetcher, fallbacks: tuple[str, ...] = ("{url}",), delay: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    """(`url`, `content`, `error`): the first form of the url in `fallbacks` that answers; `{file}` is its last part.
-    Before each call a random time within `delay` (seconds) passes."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for url in pdf["url"]:
-                content, error = None, "no url"
-                for form in fallbacks:
-                    try:
-                        time.sleep(random.uniform(*delay))
-                        content, error = fetcher.fetch(form.format(url=url, file=url.rpartition("/")[2])), None
-                        break
-                    except Exception as e:  # noqa: BLE001
-                        error = f"{type(e).__name__}: {e}"
-                out.append((url, content, error))
-            yield pd.DataFrame(out, columns=["url", "content", "error"])
-
-    return urls.select("url").mapInPandas(rows, "url string, content binary, error string")

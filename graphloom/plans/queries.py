@@ -15,7 +15,7 @@ from ..operators.knn import dense_topk
 from ..sources.readers import image_metadata
 from ..sources.sinks import still_to_do
 from . import fixtures
-from .tables import materialise, table
+from ..tables import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

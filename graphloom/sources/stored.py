@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..tables import materialise
 
 
 @dataclass(frozen=True)
@@ -18,34 +23,116 @@ class Graph:
     edges: DataFrame
 
 
-def load(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
-    """A stored table; files that can't be read are skipped. FileNotFoundError where there is none."""
-    reader = spark.read.option("ignoreCorruptFiles", True).format(fmt)
+class IncompleteTable(RuntimeError):
+    """A stored table lacks files or rows that were written."""
+
+
+MANIFEST = "name string, rows long, schema string, folder string"
+
+
+def _read(spark: SparkSession, path: str, fmt: str, schema: str | StructType | None, skip: bool = False) -> DataFrame:
+    # both kinds of options: a table is never read in part without a word
+    reader = spark.read.options(ignoreCorruptFiles=skip, ignoreMissingFiles=False).format(fmt)
     try:
-        return (reader.schema(schema) if schema else reader).load(path)
+        found = (reader.schema(schema) if schema else reader).load(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise FileNotFoundError(path) from e
         raise
+    return found
+
+
+def _columns(found: DataFrame) -> DataFrame:
+    """Without the column of the runs (see `sinks`)."""
+    return found.drop("run")
+
 
+def _counts(found: DataFrame) -> DataFrame:
+    return found.select(F.col("_metadata.file_name").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
 
-def load_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+
+def record(spark: SparkSession, path: str, fmt: str = "parquet", folder: str = "") -> None:
+    """Writes the files and their rows of a table, or of one of its folders, to the table's manifest."""
+    try:
+        written = _read(spark, f"{path}/{folder}".rstrip("/"), fmt, None)
+    except FileNotFoundError:  # no rows, no files
+        return
+    rows = _counts(written).withColumns({"schema": F.lit(written.schema.json()), "folder": F.lit(folder or "all")})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").json(f"{path}/_manifest")
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return _read(spark, f"{path}/_manifest", "json", MANIFEST)
+    except FileNotFoundError:
+        return None
+
+
+def missing_files(spark: SparkSession, path: str, found: DataFrame) -> list[str]:
+    """Files of the manifest that aren't there; names only, as Spark's own listing has them."""
+    written = _manifest(spark, path)
+    if written is None:
+        return []
+    there = {unquote(f.rpartition("/")[2]) for f in found.inputFiles()}
+    return sorted(r["name"] for r in written.where("rows > 0").select("name").collect() if r["name"] not in there)
+
+
+def load(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | StructType | None = None, counted: bool = False) -> DataFrame:
+    """A stored table. FileNotFoundError where there is none, IncompleteTable where files of its manifest are gone (or rows of
+    them, if they are `counted`); a file that can't be read fails the query that reads it."""
+    found = _read(spark, path, fmt, schema)
+    if gone := missing_files(spark, path, found):
+        raise IncompleteTable(f"{path}: {len(gone)} files are gone, {gone[0]} among them")
+    written = _manifest(spark, path) if counted else None
+    if written is not None:
+        short = written.join(_counts(found).withColumnRenamed("rows", "there"), "name", "left").where("rows <> coalesce(there, 0)").limit(1).collect()
+        if short:
+            raise IncompleteTable(f"{path}: {short[0]['name']} has {short[0]['there'] or 0} of {short[0]['rows']} rows")
+    return _columns(found)
+
+
+def load_readable(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of all files that are whole, and (`name`, `error`) of the others: gone, unreadable, or with fewer rows than
+    were written. A file counts as a whole, so no item of it is there in part. Without a manifest, as `load`."""
+    written = _manifest(spark, path)
+    one = written.select("schema").first() if written is not None else None
+    if one is None:
+        return load(spark, path, fmt, schema), spark.createDataFrame([], "name string, error string")
+    found = _read(spark, path, fmt, schema or StructType.fromJson(json.loads(one["schema"])), skip=True)
+    there = _counts(found).withColumnRenamed("rows", "there")
+    short = written.join(there, "name", "left").where("rows <> coalesce(there, 0)")
+    bad = materialise(short.select("name", F.concat(F.lit("rows read: "), F.coalesce("there", F.lit(0)), F.lit(" of "), "rows").alias("error")))
+    if bad.isEmpty():
+        return _columns(found), bad
+    named = found.withColumn("_file", F.col("_metadata.file_name"))
+    whole = named.join(bad.select(F.col("name").alias("_file")), "_file", "left_anti").drop("_file")
+    return _columns(whole), bad
+
+
+def load_or_empty(spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet") -> DataFrame:
     try:
         return load(spark, path, fmt, schema)
     except FileNotFoundError:
         return spark.createDataFrame([], schema)
 
 
+def save(df: DataFrame, path: str) -> None:
+    """A new table with its manifest; refuses to write where something exists."""
+    df.write.mode("errorifexists").parquet(path)
+    record(df.sparkSession, path)
+
+
 def save_graph(components: DataFrame, edges: DataFrame, path: str) -> None:
     """`components` with `component_id`, `embedding` and `vectors`; refuses to write where a graph exists. The edges
     come last, so a graph whose writing was broken off can't be loaded."""
-    components.drop("vectors").write.mode("errorifexists").parquet(f"{path}/components")
-    components.select("component_id", "vectors").write.mode("errorifexists").parquet(f"{path}/subs")
-    edges.write.mode("errorifexists").parquet(f"{path}/edges")
+    save(components.drop("vectors"), f"{path}/components")
+    save(components.select("component_id", "vectors"), f"{path}/subs")
+    save(edges, f"{path}/edges")
 
 
 def load_graph(spark: SparkSession, path: str) -> Graph:
-    return Graph(*(load(spark, f"{path}/{name}") for name in ("components", "subs", "edges")))
+    """All of a stored graph, files and rows checked: no answer comes from a part of it."""
+    return Graph(*(load(spark, f"{path}/{name}", counted=True) for name in ("components", "subs", "edges")))
 
 
 def save_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:

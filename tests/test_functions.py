@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.functions import vectors as V
 from graphloom.operators import models, prompts
+from graphloom.sources import web
 
 
 def value(spark, column, **data):
@@ -85,7 +86,7 @@ def test_fetch_falls_back(spark):
                 raise OSError("no")
             return url.encode()
 
-    rows = models.fetched(spark.createDataFrame([("x",)], "url string"), Some(), ("a:{url}", "b:{url}")).collect()
+    rows = web.fetched(spark.createDataFrame([("x",)], "url string"), Some(), ("a:{url}", "b:{url}")).collect()
     assert bytes(rows[0].content) == b"b:x" and rows[0].error is None
 
 

@@ -10,7 +10,7 @@ from graphloom import pipelines, schemas
 from graphloom.config import Paths, Retrieval
 from graphloom.functions import text as T
 from graphloom.operators import asking, embedding, images, labelling, models
-from graphloom.sources import readers, stored
+from graphloom.sources import readers, stored, web
 
 COMPONENTS = "doc_title string, idx int, " + schemas.COMPONENT
 
@@ -202,10 +202,10 @@ def test_both_runs(spark, tmp_path):
     paths = Paths(f"file://{tmp_path}/run")
     at = paths.table
     for _ in range(2):  # the second run finds all done but what failed
-        timer = pipelines.preprocess(spark, paths, bench, tools, (0.0, 0.0), f"file://{tmp_path}/refs")
+        timer = pipelines.preprocess(spark, paths, bench, tools, web.Pace(tries=1), f"file://{tmp_path}/refs")
     assert timer.total == sum(s for _, s in timer.seconds) and [n for n, _ in timer.seconds][:2] == ["pages", "parse"]
     assert sorted(r.title for r in spark.read.parquet(at("html")).collect()) == ["Dog", "Fox"]
-    assert [r.title for r in spark.read.parquet(at("html_failed")).collect()] == ["Gone", "Gone"]
+    assert [r.title for r in spark.read.parquet(at("html_failed")).collect()] == ["Gone"]
     pages = readers.jsonl(spark, at("pages"), schemas.PAGE)
     assert pages.count() == 2 and spark.read.parquet(at("image_vectors")).count() == 2
     assert all(r.bboxes == [[0, 0, 4, 4], [0, 0, 3, 3], [0, 0, 2, 2]] for r in readers.jsonl(spark, at("detections"), schemas.DETECTION).collect())
