@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import materialise, new_folder, shared_dir, table
+
+__all__ = ["materialise", "new_folder", "shared_dir", "table"]
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
-_LOCAL_DIR: list[str] = []
 _HELD: dict[Any, Any] = {}
 
 
@@ -41,31 +42,6 @@ def give_back() -> None:
         trim(0)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares; only where none is configured on one machine (tests) an own one."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _LOCAL_DIR:
-        _LOCAL_DIR.append("file://" + tempfile.mkdtemp(prefix="graphloom-"))
-    return _LOCAL_DIR[0]
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there, and a lost executor
-    costs no more than the tasks it was running."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def utf8(column: str) -> Column:
     """The text's UTF-8 bytes; null is empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
