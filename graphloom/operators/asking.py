@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .embedding import processed_name, table_images
-from .evaluation import require_all
+from .evaluation import strict_join
 from .models import Generator, generated
 from .prompts import Templates, first_table_image, image_block, number_images, passage_block, question_prompts, table_block
 
@@ -42,8 +42,8 @@ def ask(
     questions: DataFrame, results: DataFrame, components: DataFrame, files: DataFrame, generator: Generator, templates: Templates = Templates(), max_tokens: int = 4096
 ) -> DataFrame:
     """(`qid`, `prompt`, `images`, `answer`, `error`): a failed call answers `[Generation Failed]`. A question
-    without a result row is an error. Materialise the answers before they are used twice."""
-    require_all(questions, results)
+    without a result row fails the query. Materialise the answers before they are used twice."""
+    questions = strict_join(questions, results.groupBy("qid").agg(F.count("*").alias("_n"))).where("_n > 0").drop("_n")
     blocks = evidence(results, components, files)
     images = blocks.where("path is not null").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "path"))).alias("_i")).select("qid", F.col("_i.path").alias("images"))
     prompts = question_prompts(blocks.where("block is not null"), questions, templates).join(images, "qid", "left")

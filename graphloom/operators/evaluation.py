@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_answer, parse_answers
+from .knn import dense_topk
 
 
 def require_all(results: DataFrame, truth: DataFrame, on: str = "qid") -> None:
@@ -15,6 +16,16 @@ def require_all(results: DataFrame, truth: DataFrame, on: str = "qid") -> None:
         raise KeyError(f"no truth for {on} {missing[0][0]}")
 
 
+def strict_join(results: DataFrame, truth: DataFrame, on: str = "qid") -> DataFrame:
+    """`results` with the other columns of their truth row. A result without one fails the query that reads any of these
+    columns: the check is part of the plan and no job of its own."""
+    there, missing = "_there", F.col("_there").isNull()
+    error = F.raise_error(F.concat(F.lit(f"no truth for {on} "), F.coalesce(F.col(on).cast("string"), F.lit("null"))))
+    joined = results.join(truth.withColumn(there, F.lit(True)), on, "left")
+    checked = [F.when(missing, error.cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) for f in truth.schema if f.name != on]
+    return joined.select(*results.columns, *checked)
+
+
 def match_rates(joined: DataFrame, gold: str = "gold", found: str = "found") -> DataFrame:
     """One row: `n`, `exists_n`, `exists_rate`, `perfect_n`, `perfect_rate`. An empty gold list is perfect, but doesn't exist."""
     exists = F.coalesce(F.arrays_overlap(gold, found), F.lit(False))
@@ -41,8 +52,7 @@ def _normal_set(answers: Column) -> Column:
 def answer_scores(answers: DataFrame, truth: DataFrame) -> DataFrame:
     """(`qid`, `em`, `f1`) of generated outputs (`qid`, `answer`) against `qid`, `answers`. An answer whose question
     isn't in `truth` is an error; questions with an empty truth don't count."""
-    require_all(answers, truth)
-    joined = answers.join(truth.where(F.size("answers") > 0), "qid").select(
+    joined = strict_join(answers.select("qid", "answer"), truth.select("qid", "answers")).where(F.size("answers") > 0).select(
         "qid", _normal_set(parse_answers(F.col("answer"))).alias("p"), _normal_set(F.col("answers")).alias("t")
     )
     shared = F.size(F.array_intersect("p", "t"))
@@ -59,3 +69,14 @@ def em_f1(answers: DataFrame, truth: DataFrame) -> DataFrame:
 
 def batch_summary(results: DataFrame, error: str = "error") -> DataFrame:
     return results.agg(F.count("*").alias("total"), F.count_if(F.col(error).isNull()).alias("success"), F.count_if(F.col(error).isNotNull()).alias("failed"))
+
+
+def dense_baseline(questions: DataFrame, components: DataFrame, gold: DataFrame, k: int = 9) -> DataFrame:
+    """(`qid`, `gold`, `found`): the dense search's answer to compare a retriever with. `questions`: `qid`, `embedding`;
+    `components`: `component_id`, `embedding`, `uuids`; `gold`: `qid`, `gold`. `found` has the distinct uuids of the k nearest
+    components in their order; a question without any near component finds none, one without a gold row is an error."""
+    near = dense_topk(questions, components, k).join(components.select("component_id", "uuids"), "component_id")
+    listed = near.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "uuids"))).alias("_r"))
+    uuids = F.array_distinct(F.flatten(F.filter(F.col("_r.uuids"), lambda u: u.isNotNull())))
+    found = questions.select("qid").join(listed, "qid", "left").select("qid", F.coalesce(uuids, F.array().cast("array<string>")).alias("found"))
+    return strict_join(found, gold.select("qid", "gold")).select("qid", "gold", "found")

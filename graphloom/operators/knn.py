@@ -19,16 +19,20 @@ def dense_topk(
     """(`qid`, `component_id`, `score`, `rank` from 1) for the k rows with the largest products.
 
     Ties go to the smaller id (`newest_first`: to the larger). `queries`: `qid`, `embedding`; `rows`:
-    `component_id`, `embedding`. Queries are sent to the tasks `block` at a time (a bounded number of
-    vectors); a batch of rows is scored as one matrix product, and only its own top k of each query
-    leaves the task. Null vectors are skipped.
+    `component_id`, `embedding`. Null vectors are skipped. Queries are sent to the tasks in blocks of at most `block`, and at most
+    so many that a block's results fit 2^21 numbers; a block's broadcast is destroyed before the next one is sent, and each
+    block reads the rows once. A batch of rows is scored as one matrix product, and a task keeps the k best of each query over
+    all of its batches, so that at most tasks * queries * k rows leave the tasks.
     """
     spark = rows.sparkSession
+    block = max(1, min(block, (1 << 21) // k))
     wanted = queries.where(F.col("embedding").isNotNull()).select("qid", "embedding")
     numbered = materialise(wanted.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-wanted.count() // block))))))
     blocks = [r[0] for r in numbered.select("_b").distinct().collect()]
     kinds = {c: t for c, t in [*queries.dtypes, *rows.dtypes] if c in ("qid", "component_id")}
+    schema = f"qid {kinds['qid']}, component_id {kinds['component_id']}, score double"
     sign = -1 if newest_first else 1
+    slim = rows.select("component_id", F.col(vector).alias("_v")).where("_v is not null")
 
     def searched(b: int) -> DataFrame:
         some = numbered.where(F.col("_b") == b).select("qid", "embedding").orderBy("qid").collect()
@@ -36,24 +40,39 @@ def dense_topk(
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qids, q = held.value
+            best = Best(len(qids), k, sign)
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                ids = pdf["component_id"].to_numpy()
-                order = np.argsort(sign * ids, kind="stable")
-                score = q @ np.stack(pdf["_v"].to_numpy()[order]).astype(float).T
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                n = best.shape[1]
-                yield pd.DataFrame(
-                    {"qid": np.repeat(qids, n), "component_id": ids[order][best.ravel()], "score": np.take_along_axis(score, best, 1).ravel()}
-                )
-
-        slim = rows.select("component_id", F.col(vector).alias("_v")).where("_v is not null")
-        return slim.mapInPandas(search, f"qid {kinds['qid']}, component_id {kinds['component_id']}, score double")
+                if len(pdf):
+                    best.add(pdf["component_id"].to_numpy(), q @ np.stack(pdf["_v"].to_numpy()).astype(float).T)
+            if best.ids is not None:
+                yield pd.DataFrame({"qid": np.repeat(qids, best.ids.shape[1]), "component_id": best.ids.ravel(), "score": best.scores.ravel()})
+
+        found = materialise(slim.mapInPandas(search, schema))
+        held.destroy()
+        return found
 
     if not blocks:
-        return spark.createDataFrame([], f"qid {kinds['qid']}, component_id {kinds['component_id']}, score double, rank int")
+        return spark.createDataFrame([], schema + ", rank int")
     found = reduce(DataFrame.unionByName, map(searched, blocks))
     tie = F.desc("component_id") if newest_first else F.asc("component_id")
     window = Window.partitionBy("qid").orderBy(F.desc("score"), tie)
     return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+
+
+class Best:
+    """The k best ids of each query so far: the largest scores, of equal ones the smallest `sign * id`."""
+
+    def __init__(self, queries: int, k: int, sign: int = 1) -> None:
+        self.k, self.sign = k, sign
+        self.ids: np.ndarray | None = None
+        self.scores = np.zeros((queries, 0))
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        order = np.argsort(self.sign * ids, kind="stable")
+        top = np.argsort(-scores[:, order], axis=1, kind="stable")[:, : self.k]
+        new, points = ids[order][top], np.take_along_axis(scores[:, order], top, 1)
+        if self.ids is not None:
+            new, points = np.concatenate((self.ids, new), axis=1), np.concatenate((self.scores, points), axis=1)
+            top = np.lexsort((self.sign * new, -points), axis=1)[:, : self.k]
+            new, points = np.take_along_axis(new, top, 1), np.take_along_axis(points, top, 1)
+        self.ids, self.scores = new, points

@@ -157,8 +157,9 @@ def _documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         return spark.createDataFrame([], "doc_title string"), spark.createDataFrame([], "name string, error string")
 
 
-def build_graph(spark: SparkSession, paths: Paths, bench: dict[str, DataFrame], tools: Models, split: object = embedding.sentences) -> stored.Graph:
-    """Parsed pages to `documents` (components with vectors), labels, and the stored `graph` of the listed documents."""
+def build_graph(spark: SparkSession, paths: Paths, bench: dict[str, DataFrame], tools: Models, split: object = embedding.sentences, normalize_titles: bool = False) -> stored.Graph:
+    """Parsed pages to `documents` (components with vectors), labels, and the stored `graph` of the listed documents. With
+    `normalize_titles` a link finds a document by its cleaned title, as documents are named by theirs."""
     at = paths.table
     meta = images.metadata(stored.load_or_empty(spark, at("descriptions"), schemas.DESCRIPTION, "json"), stored.load_or_empty(spark, at("detections"), schemas.DETECTION, "json"))
     flat = flat_components(stored.load(spark, at("pages"), "json", schemas.PAGE))
@@ -174,7 +175,7 @@ def build_graph(spark: SparkSession, paths: Paths, bench: dict[str, DataFrame],
     references = stored.load_or_empty(spark, at("reference_vectors"), "ref_id string, vector array<float>")
     labelled = labelling.label_documents(_documents(spark, at("documents"))[0], listed, labelling.reference_texts(bench["texts"], bench["tables"]), vectors, references)
     numbered = materialise(graph.numbered(labelled).withColumnRenamed("edge", "neighbor_titles").withColumn("neighbor_titles", F.coalesce("neighbor_titles", F.array().cast("array<string>"))))
-    stored.save_graph(numbered, graph.build_edges(numbered), at("graph"))
+    stored.save_graph(numbered, graph.build_adjacency(numbered, normalize_titles), at("graph"))
     return stored.load_graph(spark, at("graph"))
 
 
@@ -188,7 +189,7 @@ def retrieve_cached(spark: SparkSession, paths: Paths, questions: DataFrame, too
     _split(models.cache_questions(left, tools.generator, tools.embedder, templates, instructions), at("questions"), "qid")
     cached = stored.load(spark, at("questions"), schema=QUESTION).join(questions.select("qid"), "qid", "left_semi")
     g = stored.load_graph(spark, at("graph"))
-    return materialise(graph.retrieve(cached, g.components, g.subs, cached.select("qid", "vectors"), g.edges, settings))
+    return materialise(graph.retrieve(cached, g.components, g.subs, cached.select("qid", "vectors"), g.adjacency, settings))
 
 
 def answer(spark: SparkSession, paths: Paths, bench: dict[str, DataFrame], tools: Models, settings: Retrieval = Retrieval(), templates: Templates = Templates()) -> dict[str, DataFrame]:
@@ -202,7 +203,7 @@ def answer(spark: SparkSession, paths: Paths, bench: dict[str, DataFrame], tools
     g = stored.load_graph(spark, at("graph"))
     listed = materialise(graph.with_payload(results, g.components))
     sinks.write_new(listed, at("retrieval"), "parquet")
-    joined = listed.join(asked.select("qid", F.col("gold_ids").alias("gold")), "qid").withColumnRenamed("final_component_uuid_list", "found")
+    joined = evaluation.strict_join(listed, asked.select("qid", F.col("gold_ids").alias("gold"))).withColumnRenamed("final_component_uuid_list", "found")
     found = written_answers(asked.join(listed.select("qid"), "qid", "left_semi"), results, g.components, _image_table(spark, at("processed")), tools, templates, at("answers"))
     return {
         "match": evaluation.match_rates(joined),

@@ -163,7 +163,7 @@ def one_hop_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = Retrieval(max_hop=1)
     comps, subs, asked = fixtures.components(spark, sf_dir), fixtures.sub_vectors(spark, sf_dir), fixtures.sub_queries(spark, sf_dir)
     entry = graph.find_entry(fixtures.questions(spark, sf_dir), comps, subs, asked, settings)
-    beam = graph.multi_hop(entry, graph.build_edges(comps), subs, asked, settings)
+    beam = graph.multi_hop(entry, graph.build_adjacency(comps), subs, asked, settings)
     return beam.select("qid", F.col("pos").cast("long").alias("pos"), "component_id")
 
 
@@ -171,7 +171,7 @@ def one_hop_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multi_hop_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     comps = fixtures.components(spark, sf_dir)
     found = graph.retrieve(
-        fixtures.questions(spark, sf_dir), comps, fixtures.sub_vectors(spark, sf_dir), fixtures.sub_queries(spark, sf_dir), graph.build_edges(comps)
+        fixtures.questions(spark, sf_dir), comps, fixtures.sub_vectors(spark, sf_dir), fixtures.sub_queries(spark, sf_dir), graph.build_adjacency(comps)
     )
     return found.select("qid", F.col("rank").cast("long").alias("rank"), "component_id")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.graph import Adjacency
 from ..tables import materialise
 
 
@@ -20,14 +22,22 @@ from ..tables import materialise
 class Graph:
     components: DataFrame
     subs: DataFrame
-    edges: DataFrame
+    adjacency: Adjacency
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.adjacency.edges()
+
+
+#: The tables of a stored graph: by which column each is dealt to files of its own, so that hops join them as they lie.
+BUCKETS = {"components": "component_id", "subs": "component_id", "member_docs": "component_id", "doc_members": "doc", "key_members": "key", "links": "component_id"}
 
 
 class IncompleteTable(RuntimeError):
     """A stored table lacks files or rows that were written."""
 
 
-MANIFEST = "name string, rows long, schema string, folder string"
+MANIFEST = "name string, rows long, schema string, buckets int, folder string"
 
 
 def _read(spark: SparkSession, path: str, fmt: str, schema: str | StructType | None, skip: bool = False) -> DataFrame:
@@ -51,14 +61,14 @@ def _counts(found: DataFrame) -> DataFrame:
     return found.select(F.col("_metadata.file_name").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def record(spark: SparkSession, path: str, fmt: str = "parquet", folder: str = "") -> None:
+def record(spark: SparkSession, path: str, fmt: str = "parquet", folder: str = "", buckets: int | None = None) -> None:
     """Writes the files and their rows of a table, or of one of its folders, to the table's manifest."""
     try:
         written = _read(spark, f"{path}/{folder}".rstrip("/"), fmt, None)
     except FileNotFoundError:  # no rows, no files
         return
-    rows = _counts(written).withColumns({"schema": F.lit(written.schema.json()), "folder": F.lit(folder or "all")})
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").json(f"{path}/_manifest")
+    rows = _counts(written).withColumns({"schema": F.lit(written.schema.json()), "buckets": F.lit(buckets), "folder": F.lit(folder or "all")})
+    rows.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").json(f"{path}/_manifest")
 
 
 def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
@@ -116,23 +126,67 @@ def load_or_empty(spark: SparkSession, path: str, schema: str | StructType, fmt:
         return spark.createDataFrame([], schema)
 
 
-def save(df: DataFrame, path: str) -> None:
-    """A new table with its manifest; refuses to write where something exists."""
-    df.write.mode("errorifexists").parquet(path)
-    record(df.sparkSession, path)
+def _name() -> str:
+    return f"graphloom_{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame, path: str, by: str | None = None, buckets: int | None = None) -> None:
+    """A new table with its manifest; refuses to write where something exists. With `by` it is dealt to `buckets` by that column (as many
+    as a shuffle has partitions, if not told) and sorted in each."""
+    spark = df.sparkSession
+    buckets = by and (buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if by is None:
+        df.write.mode("errorifexists").parquet(path)
+    else:
+        name = _name()
+        _refuse(spark, path)
+        df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", path).format("parquet").saveAsTable(name)
+        spark.sql(f"DROP TABLE {name}")  # the files stay
+    record(spark, path, buckets=buckets)
+
 
+def _refuse(spark: SparkSession, path: str) -> None:
+    try:
+        _read(spark, path, "parquet", None)
+    except FileNotFoundError:
+        return
+    raise FileExistsError(f"{path} exists")
 
-def save_graph(components: DataFrame, edges: DataFrame, path: str) -> None:
-    """`components` with `component_id`, `embedding` and `vectors`; refuses to write where a graph exists. The edges
+
+def load_bucketed(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """A table that `save` dealt by a column: joins on it need no shuffle of this side. Files and rows are checked. The table has a
+    name of its own in the session's catalog, which only the frame uses."""
+    found, name = load(spark, path, counted=True), _name()
+    written = _manifest(spark, path)
+    one = written.select("buckets").first() if written is not None else None
+    if one is None or one["buckets"] is None:  # no rows, or not dealt
+        return found
+    schema, buckets = found.schema, one["buckets"]
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    place = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{by}`) SORTED BY (`{by}`) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return spark.table(name)
+
+
+def save_graph(components: DataFrame, adjacency: Adjacency, path: str, buckets: int | None = None) -> None:
+    """`components` with `component_id`, `embedding` and `vectors`; refuses to write where a graph exists. The links
     come last, so a graph whose writing was broken off can't be loaded."""
-    save(components.drop("vectors"), f"{path}/components")
-    save(components.select("component_id", "vectors"), f"{path}/subs")
-    save(edges, f"{path}/edges")
+    made = {
+        "components": components.drop("vectors"),
+        "subs": components.select("component_id", "vectors"),
+        "member_docs": adjacency.docs,
+        "doc_members": adjacency.members,
+        "key_members": adjacency.named,
+        "links": adjacency.links,
+    }
+    for name, by in BUCKETS.items():
+        save(made[name], f"{path}/{name}", by, buckets)
 
 
 def load_graph(spark: SparkSession, path: str) -> Graph:
     """All of a stored graph, files and rows checked: no answer comes from a part of it."""
-    return Graph(*(load(spark, f"{path}/{name}", counted=True) for name in ("components", "subs", "edges")))
+    found = {name: load_bucketed(spark, f"{path}/{name}", by) for name, by in BUCKETS.items()}
+    return Graph(found["components"], found["subs"], Adjacency(found["member_docs"], found["doc_members"], found["key_members"], found["links"]))
 
 
 def save_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
@@ -141,8 +195,6 @@ def save_files(rows: DataFrame, folder: str, name: str = "name", content: str =
     A file gets its name when it is complete. `folder`: a uri of any file system that Arrow knows."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)

@@ -94,3 +94,54 @@ def test_every_component_of_a_large_table_is_scored(spark, tmp_path):
     assert pairs == {(q, c, c + 1) for q in asked for c in range(n - 1)}
     several = graph.all_scores(queries.fixtures.sub_vectors(spark, str(tmp_path)), queries.fixtures.sub_queries(spark, str(tmp_path)), block=5)
     assert several.select("qid", "component_id").distinct().count() == several.count() == len(got)
+
+
+def test_implicit_neighbours_are_the_edges(spark):
+    rnd = random.Random(4)
+    titles = ["A", "B!", "C_(d)", "D"]
+    rows = [(c, rnd.choice([*titles, None]), rnd.choices([*titles, "B", "none"], k=rnd.randint(0, 3)) or None) for c in range(40)]
+    comps = spark.createDataFrame(rows, "component_id long, doc_title string, neighbor_titles array<string>")
+    clean = lambda t: "".join(ch for ch in t if ch.isalnum() or ch in " _-")
+    for normal in (False, True):
+        same = (lambda a, b: clean(a) == clean(b)) if normal else (lambda a, b: a == b)
+        want = {(a, b) for a, t, _ in rows for b, u, _ in rows if t is not None and t == u}
+        want |= {(a, b) for a, _, links in rows for link in links or [] for b, u, _ in rows if u is not None and same(link, u)}
+        assert {tuple(r) for r in graph.build_edges(comps, normal).collect()} == want
+        beam = comps.where("component_id % 7 = 0").select(F.lit(1).alias("qid"), "component_id")
+        reached = {(r.component_id, r.b) for r in graph.build_adjacency(comps, normal).reached(beam).collect()}
+        assert reached == {e for e in want if e[0] % 7 == 0}
+
+
+def test_a_large_document_is_its_rows(spark):
+    comps = spark.range(100_000).select(F.col("id").alias("component_id"), F.lit("D").alias("doc_title"), F.array(F.lit("D"), F.lit("E")).alias("neighbor_titles"))
+    made = graph.build_adjacency(comps)
+    assert made.docs.count() == 100_000 and made.links.count() == 200_000
+    assert "Exchange" not in made.members._jdf.queryExecution().toString()
+
+
+def test_hops_over_implicit_neighbours(spark):
+    comps, subs, asked = (f(spark, "/root/testdata/sf0.001") for f in (queries.fixtures.components, queries.fixtures.sub_vectors, queries.fixtures.sub_queries))
+    settings = Retrieval(beam_size=8, max_hop=3)
+    entry = graph.find_entry(queries.fixtures.questions(spark, "/root/testdata/sf0.001"), comps, subs, asked, settings)
+    both = [graph.multi_hop(entry, e, subs, asked, settings) for e in (graph.build_adjacency(comps), graph.build_edges(comps))]
+    assert sorted(map(tuple, both[0].collect())) == sorted(map(tuple, both[1].collect()))
+
+
+def test_a_task_keeps_the_k_best_of_all_its_batches(spark, monkeypatch):
+    from graphloom.operators import knn
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    written, keep = [], knn.materialise
+    monkeypatch.setattr(knn, "materialise", lambda df: written.append(keep(df)) or written[-1])
+    rows = spark.range(1000, numPartitions=2).select(F.col("id").alias("component_id"), F.array(F.lit(1.0), (F.col("id") % 10).cast("double")).alias("embedding"))
+    asked = spark.createDataFrame([(q, [1.0, float(q % 3)]) for q in range(7)] + [(9, None)], "qid long, embedding array<double>")
+    for newest in (False, True):
+        written.clear()
+        got = {}
+        for r in knn.dense_topk(asked, rows, 4, block=3, newest_first=newest).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append((r.component_id, r.score))
+        assert all(w.count() <= 2 * 7 * 4 for w in written) and len(written) >= 3
+        for q in range(7):
+            all_of = [(c, 1.0 + (q % 3) * (c % 10)) for c in range(1000)]
+            assert got[q] == sorted(all_of, key=lambda x: (-x[1], -x[0] if newest else x[0]))[:4]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

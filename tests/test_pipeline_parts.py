@@ -53,6 +53,25 @@ def test_metrics(spark):
     assert (r.n, r.em, r.f1) == (2, 50.0, pytest.approx((2 / 3 + 1) / 2 * 100))
     with pytest.raises(KeyError):
         evaluation.require_all(answers, truth.where("qid = 'a'"))
+    with pytest.raises(Exception, match="no truth for qid [bc]"):
+        evaluation.em_f1(answers, truth.where("qid = 'a'")).collect()
+    found, gold = spark.createDataFrame([("a", ["u"]), ("b", ["v"])], "qid string, found array<string>"), spark.createDataFrame([("a", ["u", "w"])], "qid string, gold array<string>")
+    assert evaluation.match_rates(evaluation.strict_join(found.where("qid = 'a'"), gold)).first().exists_n == 1
+    for measure in (evaluation.match_rates, evaluation.mean_reciprocal_rank):
+        with pytest.raises(Exception, match="no truth for qid b"):
+            measure(evaluation.strict_join(found, gold)).collect()
+
+
+def test_dense_baseline(spark):
+    comps = spark.createDataFrame([(1, [1.0, 0.0], ["u"]), (2, [0.9, 0.0], ["v", "u"]), (3, [0.0, 1.0], None), (4, [0.0, 0.5], [])], "component_id long, embedding array<double>, uuids array<string>")
+    asked = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", None)], "qid string, embedding array<double>")
+    gold = spark.createDataFrame([("a", ["v"]), ("b", ["u"]), ("c", [])], "qid string, gold array<string>")
+    got = {r.qid: (r.gold, r.found) for r in evaluation.dense_baseline(asked, comps, gold, 2).collect()}
+    assert got == {"a": (["v"], ["u", "v"]), "b": (["u"], []), "c": ([], [])}
+    rates = evaluation.match_rates(evaluation.dense_baseline(asked, comps, gold, 2)).first()
+    assert (rates.n, rates.exists_n, rates.perfect_n) == (3, 1, 2)
+    with pytest.raises(Exception, match="no truth for qid c"):
+        evaluation.dense_baseline(asked, comps, gold.where("qid <> 'c'"), 2).collect()
 
 
 def test_incremental_runs_count_each_file_once(spark, tmp_path):

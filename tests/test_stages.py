@@ -122,8 +122,8 @@ def test_asking(spark):
     assert "[Table]\n" + head + "a , b | \n<Image 0> , c | \n*/\n" in got["q"].prompt
     assert "[Image]\n" + head + "<Image 1>\nCaption: cap\n*/\n" in got["q"].prompt and "[Image]\n" + head + "*/\n" in got["q"].prompt
     assert (got["r"].answer, got["r"].error, got["r"].images) == ("[Generation Failed]", "RuntimeError: no", [])
-    with pytest.raises(KeyError):
-        asking.ask(questions, results.where("qid = 'q'"), comps, files, Picky())
+    with pytest.raises(Exception, match="no truth for qid r"):
+        asking.ask(questions, results.where("qid = 'q'"), comps, files, Picky()).collect()
 
 
 def test_images_and_files(spark, tmp_path):

@@ -1,12 +1,14 @@
 """Stored tables: nothing is lost without a word, runs are whole, dead letters are those of the last try."""
 
 import os
+import re
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom import pipelines, tables
+from graphloom.operators.graph import build_adjacency
 from graphloom.sources import sinks, stored
 
 
@@ -22,7 +24,8 @@ def spoil(file):
 @pytest.fixture
 def graph(spark, tmp_path):
     comps = spark.range(100, numPartitions=4).select(F.col("id").alias("component_id"), F.array(F.lit(1.0)).alias("embedding"), F.array(F.array(F.lit(1.0))).alias("vectors"))
-    stored.save_graph(comps, spark.range(10).select(F.col("id").alias("src"), F.col("id").alias("dst")), f"{tmp_path}/g")
+    titled = comps.select("*", F.concat(F.lit("D"), F.col("component_id") % 9).alias("doc_title"), F.array(F.lit("D1"), F.lit("none")).alias("neighbor_titles"))
+    stored.save_graph(titled, build_adjacency(titled), f"{tmp_path}/g", buckets=4)
     return f"{tmp_path}/g"
 
 
@@ -33,6 +36,26 @@ def test_a_spoilt_graph_is_not_loaded(spark, graph):
         stored.load_graph(spark, graph).components.count()
 
 
+def test_hops_join_the_graph_as_it_lies(spark, graph):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    g = stored.load_graph(spark, graph)
+    beam = spark.range(0, 100, 7).select(F.lit(1).alias("qid"), F.col("id").alias("component_id"))
+    reached = g.adjacency.reached(beam)
+    got = {(r.component_id, r.b) for r in reached.collect()}
+    assert got == {(a, b) for a in range(0, 100, 7) for b in range(100) if a % 9 == b % 9 or b % 9 == 1}
+    lines = reached._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    scans = [i for i, line in enumerate(lines) if "FileScan" in line]
+    assert len(scans) == 4
+    depth = [len(re.match(r"[ :+|-]*", line)[0]) for line in lines]
+    for i in scans:  # from each scan up to the join
+        while "Join" not in lines[i]:
+            assert "Exchange" not in lines[i], lines[i]
+            i = max(j for j in range(i) if depth[j] < depth[i])
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(FileExistsError):
+        stored.save(spark.range(3), f"{graph}/subs", "id", 4)
+
+
 def test_a_graph_without_all_files_is_not_loaded(spark, graph):
     os.remove(parts(f"{graph}/subs")[1])
     with pytest.raises(stored.IncompleteTable, match="subs"):
@@ -40,11 +63,11 @@ def test_a_graph_without_all_files_is_not_loaded(spark, graph):
 
 
 def test_a_file_with_fewer_rows_is_noticed(spark, graph):
-    file = parts(f"{graph}/edges")[0]
+    file = parts(f"{graph}/links")[0]
     (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
-    spark.range(1).select(F.col("id").alias("src"), F.col("id").alias("dst")).coalesce(1).write.parquet(f"{graph}/other")
+    spark.range(1).select(F.col("id").alias("component_id"), F.lit("D1").alias("key")).coalesce(1).write.parquet(f"{graph}/other")
     file.write_bytes(parts(f"{graph}/other")[0].read_bytes())
-    with pytest.raises(stored.IncompleteTable, match="edges: part"):
+    with pytest.raises(stored.IncompleteTable, match="links: part"):
         stored.load_graph(spark, graph)
 
 
