@@ -2,11 +2,12 @@
 
 The vocabulary drops white space and never merges over it, so count(prefix) at the end of a chunk (a
 run without ASCII white space) is the count at the end of the chunk before plus the chunk's own
-tokens. These sums are the table stored for a text. Inside a chunk the count of each of its prefixes
-comes from the chunk's own table, made once for each distinct chunk that is asked about. Token counts
-don't always grow with a prefix inside a chunk, hence a table and not an interpolation. With both,
+tokens. These sums are the table stored for a text. Inside a chunk, of any length, the counts of all its prefixes come from one
+pass over its characters (`ChunkPrefixes`), made for the chunk that is asked about: the counts of closed pre-tokens, plus, for the
+open one, the count at the end of each of its prefixes, which is one more than the count where its last token begins. Token
+counts don't always grow with a prefix inside a chunk, hence a table and not an interpolation. With both,
 "how many tokens do the first p characters have" and "how long a prefix fits a budget" need no
-further encoding of the text.
+encoding of prefixes.
 """
 
 from __future__ import annotations
@@ -29,13 +30,8 @@ from .common import small_batches
 _CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
-class WordCounts:
-    """Token counts of all prefixes of one pre-token, of any length.
-
-    Symbols are bytes, the last one with the vocabulary's end of word. A row of tokens is what the merges
-    give exactly if each two neighbours stay apart when they are merged alone, so the last token of a
-    prefix is the one that fits behind the last token of what is in front of it.
-    """
+class Merges:
+    """The vocabulary's merges. Symbols are bytes, the last one of a pre-token with the vocabulary's end of word."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -60,96 +56,192 @@ class WordCounts:
             symbols[-1] += self.end
         return self._merge(symbols) == ([left] if left else []) + [right + self.end * last]
 
-    def counts(self, word: str, budget: int) -> list[int]:
-        """The counts of the prefixes, from the empty one on, as far as `budget` tokens can reach."""
-        inner, token, out = [0], [""], [0]  # of a prefix that goes on; its last token; of a prefix that ends
-        for p in range(1, len(word) + 1):
-            for last, into in ((False, inner), (True, out)):
-                for q in range(p - 1, max(-1, p - self.longest - 1), -1):
-                    own = word[q:p]
-                    if own + self.end * last in self.vocab and self.apart(token[q], own, last):
-                        into.append(inner[q] + 1)
-                        break
-                else:
-                    raise ValueError("the vocabulary lacks a byte")
-                if not last:
-                    token.append(own)
-            if min(inner[-self.longest :]) >= budget:  # all that follows has more
+
+class OpenToken:
+    """Counts of the prefixes of one pre-token while it grows.
+
+    A row of tokens is what the merges give exactly if each two neighbours stay apart when they are merged alone, so the last
+    token of a prefix is the one that fits behind the last token of what is in front of it.
+    """
+
+    def __init__(self, merges: Merges, bytes_: str = "") -> None:
+        self.merges, self.bytes = merges, ""
+        self.inner, self.token = [0], [""]  # of each prefix that goes on: its count and its last token
+        self.push(bytes_)
+
+    def push(self, bytes_: str) -> None:
+        for b in bytes_:
+            self.bytes += b
+            count, token = self._last(False)
+            self.inner.append(count)
+            self.token.append(token)
+
+    def drop(self, n: int) -> None:
+        """Takes the last `n` bytes away again."""
+        if n:
+            del self.inner[-n:], self.token[-n:]
+            self.bytes = self.bytes[:-n]
+
+    def count(self) -> int:
+        """Tokens if it ends here."""
+        return self._last(True)[0] if self.bytes else 0
+
+    def _last(self, last: bool) -> tuple[int, str]:
+        p, m = len(self.bytes), self.merges
+        for q in range(p - 1, max(-1, p - m.longest - 1), -1):
+            own = self.bytes[q:p]
+            if own + m.end * last in m.vocab and m.apart(self.token[q], own, last):
+                return self.inner[q] + 1, own
+        raise ValueError("the vocabulary lacks a byte")
+
+    def least(self) -> int:
+        """No longer prefix has as few tokens."""
+        return min(self.inner[-self.merges.longest :])
+
+
+@lru_cache(1)
+def _composing() -> frozenset[str]:
+    """Characters that can be composed with one in front of them."""
+    pairs = (unicodedata.decomposition(chr(i)).split() for i in range(0x110000))
+    second = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"}
+    return frozenset(second | {chr(i) for i in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]})  # and Hangul's vowels and finals
+
+
+def _joins(c: str) -> bool:
+    """Whether a character can change what is in front of it when the text is normalised."""
+    if c < "\u0300":
+        return False
+    first = unicodedata.normalize("NFD", c)[0]
+    return unicodedata.combining(first) > 0 or first in _composing()
+
+
+class ChunkPrefixes:
+    """Counts of all prefixes of chunks. A prefix is normalised as it ends, so where its last characters would yet be composed
+    with the next ones, they are pushed as they are by themselves and taken away again."""
+
+    #: The pre-tokens that begin with an apostrophe.
+    SHORT = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+
+    def __init__(self, store: ChunkStore, path: str) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer, self.merges = store.tokenizer, Merges(path)
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(store.special, key=len, reverse=True))) + ")") if store.special else None
+        bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.mapped = lru_cache(1 << 14)(lambda c: bytewise.pre_tokenize_str(c)[0][0])
+        self.kind = lru_cache(1 << 14)(self._kind)
+
+    def _kind(self, c: str) -> str:
+        """How the vocabulary's pattern takes a character: as a letter, a number of its own, another sign, or as a space."""
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        if len(cut("a" + c)) == 1:
+            return "letter" if cut(c) else "space"
+        return "number" if len(cut(c + c)) == 2 else "sign"
+
+    def counts(self, chunk: str, budget: int | None = None) -> list[int]:
+        """From the empty prefix on, as far as `budget` tokens can reach, or of all."""
+        out, done = [0], 0
+        for part in self.special.split(chunk) if self.special else [chunk]:
+            if self.special and self.special.fullmatch(part):
+                # a special string that is cut belongs to the text in front of it
+                cut = self._plain(before + part[:-1], None)[len(before) + 1 :]
+                out += [base + n for n in cut]
+                done += 1
+                out.append(done)
+                before, base = "", done
+                continue
+            own = self._plain(part, None if budget is None else budget - done)
+            out += [done + n for n in own[1:]]
+            if len(own) <= len(part):
+                break
+            before, base, done = part, done, done + own[-1]
+        return out
+
+    def _plain(self, text: str, budget: int | None) -> list[int]:
+        out, state = [0], _State(self)
+        ends = [i for i in range(1, len(text)) if not _joins(text[i])] + [len(text)] * bool(text)
+        begin = 0
+        for end in ends:
+            for i in range(begin + 1, end):  # inside of what is normalised together
+                fork = state.fork()
+                fork.add(self.tokenizer.normalizer.normalize_str(text[begin:i]))
+                out.append(fork.count())
+                fork.undo()
+            state.add(self.tokenizer.normalizer.normalize_str(text[begin:end]))
+            out.append(state.count())
+            if budget is not None and state.least() >= budget:
                 break
+            begin = end
         return out
 
 
-def _clusters(text: str) -> list[str]:
-    """The text's characters, each with those behind it that compose with it."""
-    if unicodedata.is_normalized("NFC", text):
-        return list(text)
-    out: list[str] = []
-    for c in text:
-        if out and unicodedata.normalize("NFC", out[-1] + c) != unicodedata.normalize("NFC", out[-1]) + unicodedata.normalize("NFC", c):
-            out[-1] += c
-        elif out and unicodedata.combining(c):
-            out[-1] += c
+class _State:
+    """The tokens of closed pre-tokens, and the open one."""
+
+    def __init__(self, of: ChunkPrefixes) -> None:
+        self.of, self.done, self.kind, self.open = of, 0, "", OpenToken(of.merges)
+        self.text = ""  # of the open pre-token, as far as it can become a short one
+        self.quote: int | None = None  # tokens in front of an apostrophe that one letter follows
+
+    def fork(self) -> _State:
+        """A state to go on with for a while; both share the open pre-token, from which `undo` takes what was pushed."""
+        out = _State.__new__(_State)
+        out.__dict__ = {**self.__dict__}
+        out.shared, out.size = self.open, len(self.open.bytes)
+        return out
+
+    def undo(self) -> None:
+        self.shared.drop(len(self.shared.bytes) - self.size)
+
+    def add(self, text: str) -> None:
+        for c in text:
+            self._add(c, self.of.kind(c))
+
+    def _add(self, c: str, kind: str) -> None:
+        of = self.of
+        if kind == "letter" and self.quote is not None and f"'{self.text}{c}" in of.SHORT:
+            self.done, self.kind, self.text = self.quote + self._whole(f"'{self.text}{c}"), "", ""
+            self.open, self.quote = OpenToken(of.merges), None
+            return
+        if kind == "letter" and self.kind == "sign" and self.text == "'":
+            if f"'{c}" in of.SHORT:
+                self.done, self.kind, self.text, self.open = self.done + self._whole(f"'{c}"), "", "", OpenToken(of.merges)
+                return
+            quote = self.done
+            self._close()
+            self.kind, self.text, self.open, self.quote = "letter", c, OpenToken(of.merges, of.mapped(c)), quote
+            return
+        self.quote = None
+        if kind == "space":
+            self._close()
+        elif kind == self.kind and kind != "number":
+            self.open.push(of.mapped(c))
+            self.text = ""
         else:
-            out.append(c)
-    return out
+            self._close()
+            self.kind, self.text, self.open = kind, c, OpenToken(of.merges, of.mapped(c))
 
+    def _whole(self, token: str) -> int:
+        return OpenToken(self.of.merges, "".join(map(self.of.mapped, token))).count()
 
-def longest_fit(store: ChunkStore, words: WordCounts, chunk: str, budget: int) -> int:
-    """Characters of the longest prefix of at most `budget` tokens, of a chunk that has more.
+    def _close(self) -> None:
+        self.done += self.open.count()
+        self.kind, self.text, self.open = "", "", OpenToken(self.of.merges)
 
-    Only the pre-token in which the budget ends needs counts of its own prefixes.
-    """
-    done, at, before = 0, 0, (0, 0)  # tokens and characters in front of a part; the same of the part before
-    for part in re.split("(" + "|".join(map(re.escape, sorted(store.special, key=len, reverse=True))) + ")", chunk) if store.special else [chunk]:
-        n = store.encode([part])[0]
-        if done + n <= budget:
-            before, done, at = (done, at), done + n, at + len(part)
-            continue
-        if part not in store.special:
-            return at + _fit_plain(store, words, part, budget - done)
-        # a special string that is cut belongs to the text in front of it
-        cuts = range(at + len(part) - 1, at, -1)
-        return next((i for i in cuts if before[0] + store.encode([chunk[before[1] : i]])[0] <= budget), at)
-    return len(chunk)
-
-
-def _fit_plain(store: ChunkStore, words: WordCounts, part: str, budget: int) -> int:
-    tokenizer, clusters = store.tokenizer, _clusters(part)
-    # of each cluster where it ends in the text and in the normalised text
-    plain = [tokenizer.normalizer.normalize_str(c) for c in clusters]
-    text = "".join(plain)
-    stops, ends = np.cumsum([len(c) for c in clusters]).tolist(), np.cumsum([len(c) for c in plain]).tolist()
-    done = 0
-    for mapped, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text):
-        n = len(tokenizer.model.tokenize(mapped))
-        if done + n <= budget:
-            done += n
-            continue
-        table, size, seen = words.counts(mapped, budget - done), 0, a
-        k = bisect_right(ends, a)
-        best = start = stops[k] - len(clusters[k])
-        for k in range(k, len(ends)):
-            stop = stops[k] - len(clusters[k])
-            for i in range(stop + 1, stops[k]):  # inside a cluster
-                if store.encode([part[start:i]])[0] <= budget - done:
-                    best = i
-            size += len(text[seen : ends[k]].encode())
-            seen = ends[k]
-            if seen > b or size >= len(table):
-                break
-            # a contraction that is cut is two pre-tokens
-            head = store.encode([text[a:seen]])[0] if size <= 4 and seen < b else table[size]
-            if head <= budget - done:
-                best = stops[k]
-        return best
-    return len(part)
+    def count(self) -> int:
+        return self.done + self.open.count()
+
+    def least(self) -> int:
+        """What every longer prefix has more of."""
+        if self.quote is not None or self.text == "'":
+            return 0
+        return self.done + (self.open.least() if self.open.bytes else -1)  # white space adds nothing
 
 
 class PrefixCounter:
     def __init__(self, path: str) -> None:
         self.store = shared_store(path, id_counts)
-        self.inner = lru_cache(4096)(self._inner)
-        self.merged = WordCounts(path)
+        self.prefixes = ChunkPrefixes(self.store, path)
 
     def counts(self, texts: list[bytes]) -> list[np.ndarray]:
         """For each UTF-8 text the counts at its chunk ends, beginning with 0."""
@@ -161,9 +253,15 @@ class PrefixCounter:
             out.append(sums)
         return out
 
-    def _inner(self, chunk: str) -> tuple[int, ...]:
-        """The counts of all prefixes of a chunk, from the empty one to the whole."""
-        return (0, *self.store.encode([chunk[:i] for i in range(1, len(chunk) + 1)]))
+    def prefix_table(self, text: str) -> np.ndarray:
+        """The counts of all prefixes of a text, from the empty one on."""
+        out, done = np.zeros(len(text) + 1, np.int64), 0
+        for m in _CHUNK.finditer(text):
+            own = self.prefixes.counts(m[0])
+            out[m.start() : m.end() + 1] = done + np.array(own)
+            done += own[-1]
+            out[m.end() :] = done
+        return out
 
     def longest_prefix(self, text: str, sums: np.ndarray, budget: int) -> int:
         """Characters of the longest prefix of at most `budget` tokens."""
@@ -172,21 +270,16 @@ class PrefixCounter:
         k = bisect_right(sums, budget) - 1  # chunks 0..k-1 fit as a whole, chunk k doesn't
         for i, m in enumerate(_CHUNK.finditer(text)):
             if i == k:
-                return m.start() + self._fits(m[0], budget - int(sums[k]))
+                left = budget - int(sums[k])
+                return m.start() + max(p for p, n in enumerate(self.prefixes.counts(m[0], left)) if n <= left)
         raise ValueError("the table belongs to another text")
 
-    def _fits(self, chunk: str, budget: int) -> int:
-        if len(chunk) <= 256:
-            inner = self.inner(chunk)
-            return max(i for i, n in enumerate(inner) if n <= budget)
-        return longest_fit(self.store, self.merged, chunk, budget)
-
     def count(self, text: str, sums: np.ndarray, prefix: int) -> int:
         """Tokens of the first `prefix` characters."""
         done = 0
         for i, m in enumerate(_CHUNK.finditer(text, 0, prefix)):
             whole = m.end() < prefix or not _CHUNK.match(text, prefix) or m.end() == len(text)
-            done = int(sums[i + 1]) if whole else int(sums[i]) + self.store.encode([m[0]])[0]
+            done = int(sums[i + 1]) if whole else int(sums[i]) + self.prefixes.counts(m[0])[-1]
         return done
 
 

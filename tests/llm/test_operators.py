@@ -130,6 +130,38 @@ def test_long_runs_are_cut_at_the_longest_prefix():
             assert counter.longest_prefix(t, sums, budget) == max(p for p, n in enumerate(each) if n <= budget), (t, budget)
 
 
+ALPHABETS = [
+    ["a", "b", "\u0301"], ["\u0301", "\u0327", "a"], ["a", "\u0301", "\u0327", "\u0323"], ["\u1100", "\u1161", "\u11a8", "x", "\uac01"], ["don't", "'s", "'", "S", "l", "'LL", "r", "e"],
+    ["<|endoftext|>", "a", "<|", "é", "<|startoftext|>", "\u0338"], ["İ", "i", "\u0307", "ß", "\u00a0", "\u3000"], ["e", "é", "中", "1", ".", "\u0e01\u0e33"], ["Σ", "ς", "Ω", "\u212b", "\u212a", "\u0958", "\u09c7", "\u09be"],
+]
+
+
+@pytest.mark.parametrize("letters", ALPHABETS)
+def test_prefix_tables_of_any_run(letters):
+    rnd = random.Random(21)
+    words, counter = Tokenizer.from_file(WORDS), PrefixCounter(WORDS)
+    for n in (0, 1, 2, 3, 5, 8, 13, 40, 40, 90, 290):
+        t = "".join(rnd.choice(letters) for _ in range(n))
+        each = [len(words.encode(t[:p], add_special_tokens=False).ids) for p in range(len(t) + 1)]
+        assert counter.prefix_table(t).tolist() == each, t
+        sums = counter.counts([t.encode()])[0]
+        for budget in range(0, each[-1], 1 + n // 20):
+            assert counter.longest_prefix(t, sums, budget) == max(p for p, k in enumerate(each) if k <= budget), (t, budget)
+
+
+def test_the_token_query_over_a_whole_table(spark):
+    words = Tokenizer.from_file(WORDS)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op1_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        n = len(words.encode(t, add_special_tokens=False).ids)
+        assert tuple(got[i])[1:4] == (len(t.encode()), n, n > 2048)
+        if n > 2048:
+            fits = [len(words.encode(t[:p], add_special_tokens=False).ids) <= 2048 for p in range(got[i].fit_chars, min(len(t), got[i].fit_chars + 40) + 1)]
+            assert fits[0] and not any(fits[1:])
+
+
 def test_id_counts_with_separators():
     assert id_counts(np.array([9, 1, 2, 9, 9, 3]), np.array([0, 3, 4])) == [0, 2, 0, 1]
 
