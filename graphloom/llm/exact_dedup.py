@@ -7,15 +7,16 @@ name. Texts of one byte length go through the same number of rounds; among them
 same final name exactly if they are the same bytes. Rounds: log2(longest text / block_bytes).
 
 Scale: blocks are pre-aggregated before the shuffle that names them, so a text that a third of all
-rows share costs each task one row. The join that hands the names back is an ordinary equi-join
-whose large partitions Spark can split. A round touches only texts that still have several names.
+rows share costs each task one row. Names are written before they are handed back, so that the join which does it
+is one of two tables, whose large partitions Spark splits. It goes by the blocks' checksums instead of their bytes; should two different
+blocks ever have one checksum, which is looked for, it goes by the bytes. A round touches only texts that still have several names.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, utf8
@@ -34,6 +35,15 @@ def _named(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _handed_back(blocks: DataFrame, check: Column | None = None) -> DataFrame:
+    """`blocks` with `_name`, the name of `_block`."""
+    check = F.unhex(F.sha2("_block", 256)) if check is None else check
+    names = materialise(_named(blocks, ["_block"]).select(check.alias("_check"), "_name"))
+    if names.groupBy("_check").count().where("count > 1").isEmpty():
+        return blocks.withColumn("_check", check).drop("_block").join(names, "_check")
+    return blocks.join(materialise(_named(blocks, ["_block"])), "_block")
+
+
 def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2048) -> DataFrame:
     """One row per input row: `_row`, `_id`, `_sha` (hex SHA-256), `_bytes` (length), `_name`.
     Two rows have equal texts exactly if `_bytes` and `_name` are equal."""
@@ -54,7 +64,7 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.size(starts).alias("_width"),
         F.posexplode(F.transform(starts, lambda i: F.substring(F.col("_text"), i * block_bytes + 1, F.lit(block_bytes)))).alias("_pos", "_block"),
     )
-    level = materialise(blocks.join(_named(blocks, ["_block"]), "_block").select(*ROW, "_width", "_pos", "_name"))
+    level = materialise(_handed_back(blocks).select(*ROW, "_width", "_pos", "_name"))
     finished = [level.where("_width = 1")]
     width = level.agg(F.max("_width")).first()[0] or 1
     while width > 1:
@@ -67,7 +77,7 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             )
         )
         level = materialise(
-            pairs.join(_named(pairs, ["_left", "_right"]), ["_left", "_right"]).select(
+            pairs.join(materialise(_named(pairs, ["_left", "_right"])), ["_left", "_right"]).select(
                 *ROW, F.shiftright(F.col("_width") + 1, 1).alias("_width"), F.col("_at").alias("_pos"), "_name"
             )
         )
@@ -83,8 +93,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     largest id repeats, one of its rows stays. A null text equals the empty text.
     """
     rows = block_identities(docs, id_col, text_col, block_bytes)
-    groups = rows.groupBy("_bytes", "_name").agg(
-        F.max(F.struct("_id", "_row")).alias("_keep"), F.count(F.lit(1)).alias("group_size")
+    groups = materialise(
+        rows.groupBy("_bytes", "_name").agg(F.max(F.struct("_id", "_row")).alias("_keep"), F.count(F.lit(1)).alias("group_size"))
     )
     return rows.join(groups, ["_bytes", "_name"]).select(
         F.col("_id").alias(id_col),

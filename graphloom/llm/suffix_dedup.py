@@ -274,7 +274,8 @@ def repeated_passages(
             yield pd.DataFrame({"_key": pdf["_key"].to_numpy()[text], "_name": name.view(np.int64), "_twice": twice})
 
     named = materialise(long_ones.select("_key", "_text").mapInPandas(places, "_key long, _name long, _twice boolean"))
-    repeated = (
+    # written, so that the join behind it is one of two tables: the rows of a name that many copies have are dealt to several tasks
+    repeated = materialise(
         named.groupBy("_name")
         .agg(F.min("_key").alias("_a"), F.max("_key").alias("_b"), F.max("_twice").alias("_t"))
         .where("_a <> _b or _t")

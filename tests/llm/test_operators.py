@@ -532,3 +532,38 @@ def test_exact_dedup(spark, block):
         own = groups[texts[r.doc_id] or ""]
         assert (r.keep_id, r.group_size, r.kept) == (max(own), len(own), r.doc_id == max(own))
         assert r.text_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_a_block_of_a_third_of_all_rows_is_split(spark):
+    from graphloom.llm import exact_dedup as module
+
+    low = {"advisoryPartitionSizeInBytes": "1k", "skewJoin.skewedPartitionThresholdInBytes": "1k", "skewJoin.skewedPartitionFactor": "1.5", "coalescePartitions.enabled": "false"}
+    for k, v in low.items():
+        spark.conf.set(f"spark.sql.adaptive.{k}", v)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    docs = spark.range(6000, numPartitions=24).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    try:
+        blocks = docs.select(F.col("doc_id").alias("_row"), F.col("text").cast("binary").alias("_block"))
+        joined = module._handed_back(blocks)
+        assert joined.count() == 6000
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+        out = exact_dedup(docs)
+        rows = out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in low:
+            spark.conf.unset(f"spark.sql.adaptive.{k}")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(r.group_size for r in rows) == [1] * 4000 + [2000] * 2000 and sum(r.kept for r in rows) == 4001
+
+
+def test_blocks_with_one_checksum_go_by_their_bytes(spark):
+    from graphloom.llm.exact_dedup import _handed_back
+
+    blocks = spark.createDataFrame([(0, b"a"), (1, b"b"), (2, b"a"), (3, b"")], "_row long, _block binary")
+    for check in (None, F.lit(b"same")):
+        got = {r._row: r._name for r in _handed_back(blocks, check).select("_row", "_name").collect()}
+        assert got[0] == got[2] and len(set(got.values())) == 3 and len(got) == 4
