@@ -1,8 +1,8 @@
 """Page HTML to components: a table function over a lenient tree of the markup.
 
 Sections hold headings (h2-h6), paragraphs, tables, figures and lists; containers in between are
-looked through. Headings carry a path over sections; a closing heading such as "References" ends its
-section. One page is one row of a batch, and a page that can't be read gives an error row.
+looked through. The parser gives these elements only; paths of headings, which go on over sections, and the closing headings
+such as "References", which end theirs, are a fold over a page's elements in the JVM. A page that can't be read gives an error row.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from html.parser import HTMLParser
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import FILE_PATH
@@ -27,12 +27,6 @@ BOXES = {"ambox", "mbox", "cmbox", "metadata"}
 _IMPLIED_END = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _BLOCKS = KEPT | CONTAINERS | {"article", "nav", "footer", "h1"}
 
-SCHEMA = (
-    "page_id long, idx int, type string, heading_path array<string>, edge array<string>, paragraph string, src string, caption string, "
-    "table array<array<string>>, error string"
-)
-
-
 class Node:
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, parent: Node | None = None) -> None:
         self.tag, self.attrs, self.parent, self.children = tag, attrs or {}, parent, []
@@ -193,53 +187,93 @@ def sections(root: Node, fallback: tuple[str, ...] = ("article",)) -> list[Node]
     return list(body.find_all(*fallback))
 
 
-def components(html: str) -> Iterator[dict]:
-    path: list[str] = []
-    for section in sections(parse(html)):
+def plain_text(node: Node | str) -> str:
+    """All text of a node as it stands, scripts and styles left out."""
+    if isinstance(node, str):
+        return node
+    return "".join(plain_text(c) for c in node.children if isinstance(c, str) or c.tag not in ("style", "script"))
+
+
+def elements(html: str) -> Iterator[dict]:
+    """The headings (`level`, `title`) and components of a page in their order, each with the number of its section."""
+    for number, section in enumerate(sections(parse(html))):
         if "shortdescription" in section.classes:
             continue
         for e in flattened(section):
             edges: list[str] = []
             made: dict = {}
             if e.tag[0] == "h":
-                title = text_of(e, edges)
-                if any(c in title.lower() for c in CLOSING):
-                    break
-                path = [*path[: int(e.tag[1]) - 2], title]
-                continue
-            if e.tag == "table" and e.classes & BOXES:
-                continue
-            if e.tag == "p":
+                yield {"section": number, "level": int(e.tag[1]), "title": plain_text(e).strip()}
+            elif e.tag == "p":
                 made = {"type": "paragraph", "paragraph": text_of(e, edges)}
             elif e.tag in ("ul", "ol"):
                 made = {"type": "paragraph", "paragraph": list_text(e, edges)}
-            elif e.tag == "table":
+            elif e.tag == "table" and not e.classes & BOXES:
                 made = {"type": "table", "table": table_rows(e, edges)}
             elif e.tag == "figure":
                 link, cap = next(e.find_all("a"), None), next(e.find_all("figcaption"), None)
                 href = link.attrs.get("href", "") if link else ""
                 made = {"type": "image", "src": _file(href), "caption": text_of(cap, edges) if cap else ""} if href else {}
             if made and (made["type"] != "paragraph" or made["paragraph"].strip()):
-                yield {**made, "heading_path": list(path), "edge": list(dict.fromkeys(edges))}
+                yield {**made, "section": number, "edge": list(dict.fromkeys(edges))}
 
 
-def page_components(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """One row per component; a page without any, or one that can't be read, is a row with `error`."""
-    names = [c.split()[0] for c in re.sub(r"<[^>]*>+", "", SCHEMA).split(", ")]
+def heading_paths(elements_: Column) -> Column:
+    """Of elements (`section`, `level`, `title`; a heading has a level from 2 on), an array of (`at`, `heading_path`) with the places of those that
+    are no headings. A heading of level n follows the first n - 2 titles of the path; levels that are left out aren't filled, and
+    the path goes on over sections. A closing heading ends its section: all behind it in the section is left out, and so is
+    the heading itself."""
+    closing = "(?i)" + "|".join(re.escape(c) for c in CLOSING)
+
+    def step(acc: Column, e: Column) -> Column:
+        heading, out_of = e["level"].isNotNull(), acc["closed"] == e["section"]
+        ends = heading & F.regexp_like(F.coalesce(e["title"], F.lit("")), F.lit(closing))
+        longer = F.concat(F.slice(acc["path"], F.lit(1), F.greatest(e["level"] - 2, F.lit(0))), F.array(e["title"]))
+        found = F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), acc["path"].alias("heading_path"))))
+        return F.struct(
+            F.when(heading & ~ends & ~out_of, longer).otherwise(acc["path"]).alias("path"),
+            F.when(ends & ~out_of, e["section"]).otherwise(acc["closed"]).alias("closed"),
+            (acc["at"] + 1).alias("at"),
+            F.when(~heading & ~out_of, found).otherwise(acc["out"]).alias("out"),
+        )
+
+    none = F.array().cast("array<struct<at: int, heading_path: array<string>>>")
+    zero = F.struct(F.array().cast("array<string>").alias("path"), F.lit(-1).alias("closed"), F.lit(0).alias("at"), none.alias("out"))
+    return F.aggregate(elements_, zero, step, lambda acc: acc["out"])
+
+
+ELEMENT = "section int, level int, title string, type string, edge array<string>, paragraph string, src string, caption string, table array<array<string>>"
+
+
+def page_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(`page_id`, `elements`, `error`): one row per page."""
+    names = [c.split()[0] for c in re.sub(r"<[^>]*>+", "", ELEMENT).split(", ")]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for page, html in zip(pdf["page_id"], pdf["html"]):
                 try:
-                    found = list(components(html or ""))
-                    out += [{"page_id": page, "idx": i, **c} for i, c in enumerate(found)] or [{"page_id": page, "error": "no components"}]
+                    out.append((page, [{n: e.get(n) for n in names} for e in elements(html or "")], None))
                 except Exception as e:  # noqa: BLE001  one bad page must not end the batch
-                    out.append({"page_id": page, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype="Int32" if n == "idx" else object) for n in names})
+                    out.append((page, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["page_id", "elements", "error"])
 
     kind = "string" if dict(pages.dtypes)[id_col] == "string" else "long"
-    return pages.select(F.col(id_col).cast(kind).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(rows, SCHEMA.replace("page_id long", f"page_id {kind}"))
+    fields = ", ".join(f"{a}: {b}" for a, b in (f.split(" ", 1) for f in ELEMENT.split(", ")))
+    return pages.select(F.col(id_col).cast(kind).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(rows, f"page_id {kind}, elements array<struct<{fields}>>, error string")
+
+
+def page_components(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """One row per component; a page without any, or one that can't be read, is a row with `error`."""
+    found = page_elements(pages, id_col, html_col).withColumn("_p", heading_paths(F.col("elements")))
+    one = found.select("page_id", "elements", "error", F.posexplode_outer("_p").alias("idx", "_c"))
+    e = F.get("elements", F.col("_c.at"))
+    fields = {c: e[c].alias(c) for c in ("type", "edge", "paragraph", "src", "caption", "table")}
+    error = F.when(F.col("idx").isNull(), F.coalesce("error", F.lit("no components")))
+    return one.select(
+        "page_id", "idx", fields["type"], F.col("_c.heading_path").alias("heading_path"), *(fields[c] for c in ("edge", "paragraph", "src", "caption", "table")), error.alias("error")
+    )
 
 
 def page_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

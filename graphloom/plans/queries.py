@@ -445,6 +445,36 @@ def html_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_components(table(spark, sf_dir, "pages"))
 
 
+_ELEMENT = "{{'section': {0}section, 'level': {0}level, 'title': {0}title, 'path': []::VARCHAR[], 'closed': -1::BIGINT, 'closing': {0}closing}}"
+_FOLD = """list_reduce(es, lambda a, e: {'section': e.section, 'level': 0::BIGINT, 'title': '',
+      'path': CASE WHEN e.level >= 2 AND a.closed <> e.section AND NOT e.closing THEN list_concat(list_slice(a.path, 1, e.level - 2), [e.title]) ELSE a.path END,
+      'closed': CASE WHEN e.level >= 2 AND a.closed <> e.section AND e.closing THEN e.section ELSE a.closed END, 'closing': false})"""
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, (turn // 4)::BIGINT AS section, (CASE WHEN role = 'user' THEN 2 + len(text) % 4 ELSE 0 END)::BIGINT AS level,
+      CASE WHEN role = 'user' AND len(text) % 7 = 0 THEN 'See also ' ELSE '' END || split_part(text, ' ', 1) AS title, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations),
+    e AS (SELECT *, regexp_matches(lower(title), 'references|see also|external links|notes|further reading|sources') AS closing FROM t),
+    p AS (SELECT x.conv_id, x.pos, x.section, list({_ELEMENT.format('y.')} ORDER BY y.pos) FILTER (WHERE y.pos < x.pos) AS es0
+      FROM e x JOIN e y ON x.conv_id = y.conv_id AND y.pos <= x.pos WHERE x.level = 0 GROUP BY ALL),
+    q AS (SELECT conv_id, pos, section, list_concat([{{'section': -1::BIGINT, 'level': 0::BIGINT, 'title': '', 'path': []::VARCHAR[], 'closed': -1::BIGINT, 'closing': false}}], coalesce(es0, [])) AS es FROM p),
+    f AS (SELECT conv_id, pos, section, {_FOLD} AS r FROM q)
+    SELECT conv_id, pos AS "at", r.path AS heading_path FROM f WHERE r.closed <> section"""
+)
+def conversation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold of heading paths and closing headings, over conversations: four turns are a section, a user's turn is a heading."""
+    turns = table(spark, sf_dir, "conversations")
+    user, title, odd = F.col("role") == "user", F.split_part("text", F.lit(" "), F.lit(1)), F.length("text") % 7 == 0
+    e = F.struct(
+        F.col("turn").alias("turn"),
+        F.floor(F.col("turn") / 4).cast("int").alias("section"),
+        F.when(user, (2 + F.length("text") % 4)).cast("int").alias("level"),
+        F.when(user & odd, F.concat(F.lit("See also "), title)).otherwise(title).alias("title"),
+    )
+    pages = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(e)).alias("e"))
+    return pages.select("conv_id", F.inline(html.heading_paths(F.col("e")))).select("conv_id", F.col("at").cast("long").alias("at"), "heading_path")
+
+
 @query()
 def question_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sub-queries, modalities and vectors of all user turns, with the offline stand-ins."""

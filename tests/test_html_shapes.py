@@ -1,6 +1,8 @@
 """Markup of the page format against results worked out by hand."""
 
-from graphloom.operators.html import components
+from pyspark.sql import functions as F
+
+from graphloom.operators import html
 
 PAGE = """<body>
 <section class="shortdescription"><p>gone</p></section>
@@ -15,9 +17,15 @@ PAGE = """<body>
 <h2>References</h2><p>gone</p></section></body>"""
 
 
-def test_components_of_a_page():
+def components(spark, *pages):
+    rows = html.page_components(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).orderBy("page_id", "idx").collect()
+    return [[r.asDict() for r in rows if r.page_id == i] for i in range(len(pages))]
+
+
+def test_components_of_a_page(spark):
     base = "https://en.wikipedia.org/wiki/Special:FilePath/"
-    got = [(c["type"], c.get("paragraph") or c.get("table") or (c["src"], c["caption"]), c["edge"]) for c in components(PAGE)]
+    found, = components(spark, PAGE)
+    got = [(c["type"], c.get("paragraph") or c.get("table") or (c["src"], c["caption"]), c["edge"]) for c in found]
     assert got == [
         ("paragraph", "See the page , o .", ["Some_Page"]),
         ("paragraph", "- x ab - deep\n- y", ["A b"]),
@@ -25,4 +33,43 @@ def test_components_of_a_page():
         ("table", [["h", f"[[{base}F g.svg]] v"]], []),
         ("paragraph", f"[[http://x.org/p.png]] [[{base}R.png]]", []),
     ]
-    assert {tuple(c["heading_path"]) for c in components(PAGE)} == {("One",)}
+    assert {tuple(c["heading_path"]) for c in found} == {("One",)} and [c["idx"] for c in found] == list(range(5))
+
+
+def test_heading_text_stays_as_it_is(spark):
+    page = """<body><section><h2> H<sub>2</sub>O<sup class="reference">[1]</sup> <style>x{}</style></h2><p>a</p><h4>In <a href="./X">the</a>  deep</h4><p>b</p><h3>Up</h3><p>c</p></section>
+      <section><h5>D</h5><p>d</p><h2>foot NOTES here</h2><p>gone</p><h2>Also gone</h2><p>gone</p></section><section><p>e</p><h2>New</h2><p>f</p></section></body>"""
+    found, none, bad = components(spark, page, "<body><section><h2>Only</h2></section></body>", None)
+    assert [(c["paragraph"], c["heading_path"]) for c in found] == [
+        ("a", ["H2O[1]"]), ("b", ["H2O[1]", "In the  deep"]), ("c", ["H2O[1]", "Up"]),
+        ("d", ["H2O[1]", "Up", "D"]), ("e", ["H2O[1]", "Up", "D"]), ("f", ["New"]),
+    ]
+    assert [c["error"] for c in [*none, *bad]] == ["no components"] * 2
+
+
+def test_paths_by_a_fold_match_a_loop(spark):
+    import random
+
+    rnd = random.Random(8)
+    pages = []
+    for i in range(60):
+        own, section = [], 0
+        for _ in range(rnd.randint(0, 25)):
+            section += rnd.random() < 0.2
+            head = rnd.random() < 0.5
+            own.append((section, rnd.randint(2, 6) if head else None, rnd.choice(["A", "B", "See also", "Sources of x", ""]) if head else None))
+        pages.append((i, own))
+    df = spark.createDataFrame(pages, "i int, e array<struct<section: int, level: int, title: string>>")
+    got = {r.i: [(p["at"], p["heading_path"]) for p in r.p] for r in df.select("i", html.heading_paths(F.col("e")).alias("p")).collect()}
+    for i, own in pages:
+        path, want, closed = [], [], None
+        for at, (section, level, title) in enumerate(own):
+            if section == closed:
+                continue
+            if level is None:
+                want.append((at, list(path)))
+            elif any(c in title.lower() for c in html.CLOSING):
+                closed = section
+            else:
+                path = [*path[: level - 2], title]
+        assert got[i] == want
