@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_name, label_text, links, table_for_labels, tokens, url_name, wiki_title
 from ..functions.vectors import dot
+from ..tables import materialise
 
 
 def reference_texts(texts: DataFrame, tables: DataFrame) -> DataFrame:
@@ -57,10 +59,61 @@ def token_recall(references: DataFrame, candidates: DataFrame, on: list[str] | N
     return shared.join(size, ["ref_id", *on]).select("ref_id", *on, "cand_id", (F.col("shared") / F.col("size")).alias("score"))
 
 
-def best_match(scored: DataFrame, references: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(`ref_id`, `cand_id`, `score`): the best candidate of each reference, of equal ones the smallest id; a
-    reference that shares nothing gets the first candidate with score 0."""
-    best = scored.groupBy("ref_id").agg(F.max(F.struct("score", (-F.col("cand_id")).alias("c"))).alias("b"))
+@dataclass(frozen=True)
+class Bounds:
+    """Of a search for best matches by upper bounds: `pairs` (`ref_id`, `on`, `cand_id`, `shared`), all that could be best, with their shared
+    tokens exactly; `met`, those that were formed at all; `sizes` of the references."""
+
+    pairs: DataFrame
+    met: DataFrame
+    sizes: DataFrame
+
+
+def bounded_pairs(references: DataFrame, candidates: DataFrame, on: list[str] | None = None, probes: int = 3) -> Bounds:
+    """The pairs that can be a reference's best match, without forming all that share a token (MaxScore).
+
+    A reference's tokens are ordered by the number of candidates that have them, the rarest first. The candidate that has most of
+    the first `probes` tokens, scored exactly, gives a bound. Tokens at the end of the order, which together can't reach it, form
+    no pairs; a pair that can't reach it with all of them leaves; for the others the tokens at the end are looked up.
+    """
+    on = on or []
+    ref_key, at = ["ref_id", *on], [*on, "t"]
+    ref = references.select(*ref_key, F.explode(tokens(F.col("value"))).alias("t")).groupBy(*ref_key, "t").agg(F.count("*").alias("n_ref"))
+    sizes = references.select(*ref_key, F.size(tokens(F.col("value"))).alias("size"))
+    cand = materialise(
+        candidates.select("cand_id", *on, F.explode(tokens(F.col("value"))).alias("t"))
+        .join(ref.select(*at).distinct(), at, "left_semi")
+        .groupBy("cand_id", *at).agg(F.count("*").alias("n_cand"))
+    )
+    common = cand.groupBy(*at).agg(F.count("*").alias("many"))
+    order = Window.partitionBy(*ref_key).orderBy("many", "t")  # of one reference's tokens
+    left = F.sum("n_ref").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    ranked = materialise(ref.join(common, at).withColumns({"rank": F.row_number().over(order), "left": left}))
+
+    def shared(some: DataFrame, name: str) -> DataFrame:
+        return some.join(cand, at).groupBy(*ref_key, "cand_id").agg(F.sum(F.least("n_ref", "n_cand")).alias(name))
+
+    first = shared(ranked.where(F.col("rank") <= probes), "n").groupBy(*ref_key).agg(F.max(F.struct("n", (-F.col("cand_id")).alias("c"))).alias("b"))
+    asked = first.select(*ref_key, (-F.col("b.c")).alias("cand_id")).join(ranked, ref_key)
+    reached = asked.join(cand, [*at, "cand_id"]).groupBy(*ref_key).agg(F.sum(F.least("n_ref", "n_cand")).alias("bound"))
+    bounded = materialise(ranked.join(reached, ref_key).withColumn("forms", F.col("left") >= F.col("bound")))
+    behind = bounded.groupBy(*ref_key, "bound").agg(F.coalesce(F.sum(F.when(~F.col("forms"), F.col("n_ref"))), F.lit(0)).alias("behind"))
+    met = materialise(shared(bounded.where("forms"), "shared"))
+    able = met.join(behind, ref_key).where("shared + behind >= bound").select(*ref_key, "cand_id", "shared")
+    more = able.join(bounded.where("not forms"), ref_key).join(cand, [*at, "cand_id"]).groupBy(*ref_key, "cand_id").agg(F.sum(F.least("n_ref", "n_cand")).alias("more"))
+    exact = able.join(more, [*ref_key, "cand_id"], "left").withColumn("shared", F.col("shared") + F.coalesce("more", F.lit(0))).drop("more")
+    return Bounds(exact, met, sizes)
+
+
+def _best(bounds: Bounds, on: list[str]) -> DataFrame:
+    scored = bounds.pairs.join(bounds.sizes, ["ref_id", *on]).withColumn("score", F.col("shared") / F.col("size"))
+    return scored.groupBy("ref_id", *on).agg(F.max(F.struct("score", (-F.col("cand_id")).alias("c"))).alias("b"))
+
+
+def best_match(references: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(`ref_id`, `cand_id`, `score`): of each reference (`ref_id`, `value`) the candidate (`cand_id`, `value`) with the largest
+    `token_recall`, of equal ones the smallest id; a reference that shares nothing gets the first candidate with score 0."""
+    best = _best(bounded_pairs(references, candidates), [])
     first = candidates.agg(F.min("cand_id").alias("first"))
     return references.select("ref_id").join(best, "ref_id", "left").join(F.broadcast(first)).select(
         "ref_id", F.coalesce(-F.col("b.c"), "first").alias("cand_id"), F.coalesce("b.score", F.lit(0.0)).alias("score")
@@ -68,10 +121,9 @@ def best_match(scored: DataFrame, references: DataFrame, candidates: DataFrame)
 
 
 def best_match_within(references: DataFrame, candidates: DataFrame, on: list[str]) -> DataFrame:
-    """As `token_recall` and `best_match`, but among the candidates that agree in the columns `on`; no row for a
+    """As `best_match`, but among the candidates that agree in the columns `on`; no row for a
     reference without any. Of equal candidates the smallest id is taken, also where nothing is shared."""
-    scored = token_recall(references, candidates, on)
-    best = scored.groupBy("ref_id", *on).agg(F.max(F.struct("score", (-F.col("cand_id")).alias("c"))).alias("b"))
+    best = _best(bounded_pairs(references, candidates, on), on)
     first = candidates.groupBy(*on).agg(F.min("cand_id").alias("first"))
     return references.select("ref_id", *on).join(first, on).join(best, ["ref_id", *on], "left").select(
         "ref_id", *on, F.coalesce(-F.col("b.c"), "first").alias("cand_id"), F.coalesce("b.score", F.lit(0.0)).alias("score")

@@ -193,7 +193,7 @@ _TOKENS = "list_filter(string_split_regex(regexp_replace(text, '[.,!?;:\"()-]',
 def token_recall_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), T.label_text(F.col("text"), _PUNCT).alias("value"))
     cand = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cand_id"), T.label_text(F.col("text"), _PUNCT).alias("value"))
-    return labelling.best_match(labelling.token_recall(ref, cand), ref, cand).select("ref_id", "cand_id", _r("score").alias("score"))
+    return labelling.best_match(ref, cand).select("ref_id", "cand_id", _r("score").alias("score"))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:

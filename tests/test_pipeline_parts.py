@@ -37,10 +37,37 @@ def test_pages_to_edges(spark, tmp_path):
 def test_token_recall_counts_repeats(spark):
     ref = spark.createDataFrame([(1, "a a b c"), (2, "zzz"), (3, "")], "ref_id long, value string")
     cand = spark.createDataFrame([(5, "a b"), (6, "a a"), (7, "a a a c")], "cand_id long, value string")
-    best = {r.ref_id: (r.cand_id, r.score) for r in labelling.best_match(labelling.token_recall(ref, cand), ref, cand).collect()}
+    best = {r.ref_id: (r.cand_id, r.score) for r in labelling.best_match(ref, cand).collect()}
     assert best == {1: (7, 0.75), 2: (5, 0.0), 3: (5, 0.0)}
 
 
+def test_best_matches_by_bounds_are_those_of_all_pairs(spark):
+    import random
+
+    rnd = random.Random(12)
+    words = [f"w{min(int(rnd.expovariate(0.05)), 99)}" for _ in range(9000)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    cands = [(i, text(rnd.randint(0, 60)), i % 2) for i in range(250)]
+    refs = [(r, text(rnd.randint(0, 12)), r % 3) for r in range(40)]
+    refs += [(100 + r, " ".join(cands[5 * r][1].split()[:15]), cands[5 * r][2]) for r in range(20)]
+    ref, cand = spark.createDataFrame(refs, "ref_id long, value string, part long"), spark.createDataFrame(cands, "cand_id long, value string, part long")
+    full = labelling.token_recall(ref, cand).orderBy("ref_id", F.desc("score"), "cand_id").collect()
+    want = {r: (0, 0.0) for r, _, _ in refs}
+    for row in reversed(full):
+        want[row.ref_id] = (row.cand_id, row.score)
+    assert {r.ref_id: (r.cand_id, r.score) for r in labelling.best_match(ref, cand).collect()} == want
+    within = labelling.token_recall(ref, cand, ["part"]).orderBy("ref_id", F.desc("score"), "cand_id").collect()
+    want = {r: (p, 0.0) for r, _, p in refs if p < 2}
+    for row in reversed(within):
+        want[row.ref_id] = (row.cand_id, row.score)
+    assert {r.ref_id: (r.cand_id, r.score) for r in labelling.best_match_within(ref, cand, ["part"]).collect()} == want
+    copied = ref.where("ref_id >= 100")
+    met, every = labelling.bounded_pairs(copied, cand).met.count(), labelling.token_recall(copied, cand).count()
+    assert met < every / 4
+    none = labelling.best_match(ref.where("false"), cand).collect() + labelling.best_match_within(ref, cand.where("false"), ["part"]).collect()
+    assert none == []
+
+
 def test_metrics(spark):
     lists = spark.createDataFrame([([1, 2], [3, 2, 1]), ([4], [1]), ([], [1])], "gold array<int>, found array<int>")
     r = evaluation.match_rates(lists).first()
