@@ -295,22 +295,19 @@ def image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part_tables(spark, sf_dir).select("p_brand", F.flatten(F.transform(cells, T.links)).alias("links"))
 
 
-@query(
-    r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'),
-    '(^|[^\p{L}\p{N}_])(a|an|the)($|[^\p{L}\p{N}_])', '\1 \3', 'g'), '\s+', ' ', 'g')) AS answer
-    FROM conversations WHERE regexp_matches(text, '^[\x00-\x7F]*$') AND NOT regexp_matches(lower(text), '\b(a|an|the)[^a-z0-9]+(a|an|the)\b')"""
-)
+_WORD = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
+_ANSWERS = rf"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(regexp_replace(lower(text), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g'), '{_WORD}+|{_WORD.replace("[", "[^", 1)}+') AS parts, text FROM conversations)
+    SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN trim(regexp_replace(array_to_string(list_transform(parts, lambda w: CASE WHEN w IN ('a', 'an', 'the') THEN ' ' ELSE w END), ''), '[\t-\r\x{{85}}\p{{Z}}]+', ' ', 'g')) END AS answer FROM t"""
+
+
+@query(_ANSWERS)
 def normalized_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where(
-        F.col("text").rlike(r"^[\x00-\x7F]*$") & ~F.lower("text").rlike(r"\b(a|an|the)[^a-z0-9]+(a|an|the)\b")
-    )
-    return rows.select("conv_id", "turn", T.normalize_answer(F.col("text")).alias("answer"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_answer(F.col("text")).alias("answer"))
 
 
-@query()
+@query(_ANSWERS)
 def normalized_answers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row; `normalized_answers` has those on which DuckDB's patterns agree with the operator."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_answer(F.col("text")).alias("answer"))
+    return normalized_answers(spark, sf_dir)
 
 
 # ---------------------------------------------------------------- evaluation
