@@ -203,7 +203,7 @@ def find_personal_data(
 
 
 def personal_data_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts per base kind, a checksum of the base spans, and all spans as text."""
+    """Counts per base kind, a checksum of the base spans, all spans as text, and the number of those found by their context."""
 
     def listed(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
@@ -214,7 +214,8 @@ def personal_data_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] != "found")
     return found.select(
         id_col,
-        *(count(k) for k in KINDS),
+        *(count(k) for k in KINDS if k != "found"),
         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
+        count("found"),
     )

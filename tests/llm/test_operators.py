@@ -567,3 +567,25 @@ def test_blocks_with_one_checksum_go_by_their_bytes(spark):
     for check in (None, F.lit(b"same")):
         got = {r._row: r._name for r in _handed_back(blocks, check).select("_row", "_name").collect()}
         assert got[0] == got[2] and len(set(got.values())) == 3 and len(got) == 4
+
+
+def test_unseen_identifiers_in_known_contexts_are_found(spark):
+    rnd = random.Random(30)
+    code = lambda: "".join(rnd.choice("ABCDEFGH") for _ in range(3)) + str(rnd.randint(1000, 9999))
+    contexts = ["reach me under", "account holder", "signed in as", "Rückruf bei"]
+    known = ["{}@mail{}.org", "10.{}.{}.7", "+49 151 {}{}123"]
+    rows, planted = [], set()
+    for i in range(400):
+        words = [rnd.choice(["alpha", "beta", "gamma", "delta", "see"]) for _ in range(rnd.randint(3, 30))]
+        words.insert(rnd.randrange(len(words)), f"release {rnd.randint(1, 99)}.{rnd.randint(0, 9)}")  # a number in no such context
+        if i % 2 == 0:
+            unseen = i % 20 == 0
+            value = code() if unseen else rnd.choice(known).format(rnd.randint(10, 99), rnd.randint(10, 99))
+            words.insert(rnd.randrange(len(words)), f"{rnd.choice(contexts)} {value}")
+            if unseen:
+                planted.add((i, value))
+        rows.append((i, " ".join(words)))
+    found = find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, s.value) for r in found for s in r.spans if s.kind == "found"}
+    recall, precision = len(got & planted) / len(planted), len(got & planted) / max(1, len(got))
+    assert len(planted) == 20 and recall >= 0.9 and precision >= 0.9, (recall, precision)
