@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, utf8
+from .common import give_back, materialise, small_batches, utf8
 
 GRAM = 32
 _TABLE = np.random.Generator(np.random.PCG64(42)).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -272,6 +272,7 @@ def repeated_passages(
         for pdf in batches:
             text, name, twice = named_places([bytes(t) for t in pdf["_text"]], length)
             yield pd.DataFrame({"_key": pdf["_key"].to_numpy()[text], "_name": name.view(np.int64), "_twice": twice})
+            give_back()
 
     named = materialise(long_ones.select("_key", "_text").mapInPandas(places, "_key long, _name long, _twice boolean"))
     # written, so that the join behind it is one of two tables: the rows of a name that many copies have are dealt to several tasks
@@ -294,6 +295,7 @@ def repeated_passages(
                 for start, name, own in segments(bytes(text), np.asarray(names, np.int64).view(np.uint64), length)
             ]
             yield pd.DataFrame(rows, columns=["_sha", "_start", "_name", "_segment", "_bytes"])
+            give_back()
 
     placed = materialise(texts.mapInPandas(cut, "_sha string, _start long, _name long, _segment binary, _bytes binary"))
     distinct = materialise(
@@ -324,6 +326,7 @@ def repeated_passages(
                 kept.update(text[at:])
                 rows.append((sha, gone, count, kept.hexdigest()))
             yield pd.DataFrame(rows, columns=["_sha", "_gone", "_count", "_kept"])
+            give_back()
 
     cuts = texts.select("_sha", "_text").join(per_text, "_sha").mapInPandas(removed, "_sha string, _gone long, _count long, _kept string")
     rows = source.select("_id", "_sha", "n_bytes")
@@ -363,6 +366,7 @@ def _segment_spans(distinct: DataFrame, length: int, shard_bytes: int, hot_segme
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         hits = _merge_blocks([bytes(b) for b in pdf["_bytes"]], length, shard_bytes)
         rows = [(segment, a, b) for segment, hit in zip(pdf["_segment"], hits) for a, b in _runs(hit, length)]
+        give_back()
         return pd.DataFrame(rows, columns=["_segment", "_from", "_to"])
 
     found = mild.groupBy("_shard").applyInPandas(search, "_segment binary, _from long, _to long")
