@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from graphloom.config import Retrieval
+from graphloom.functions import vectors as V
 from graphloom.operators import graph, html
 from graphloom.plans import queries
 
@@ -145,3 +146,29 @@ def test_a_task_keeps_the_k_best_of_all_its_batches(spark, monkeypatch):
             all_of = [(c, 1.0 + (q % 3) * (c % 10)) for c in range(1000)]
             assert got[q] == sorted(all_of, key=lambda x: (-x[1], -x[0] if newest else x[0]))[:4]
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_batches_give_the_sums_of_columns(spark):
+    rnd = random.Random(6)
+    vec = lambda n=3: [rnd.gauss(0, 1) for _ in range(n)]
+    subs = [(c, [vec() for _ in range(rnd.randint(0, 4))]) for c in range(40)]
+    subs += [(40, None), (41, [None, vec()]), (42, [[1.0, None, 2.0]]), (43, [vec(2)]), (44, [[float("nan"), 1.0, 1.0], vec()])]
+    asked = [(q, [vec() for _ in range(rnd.randint(0, 3))]) for q in range(9)] + [(9, None), (10, [vec(), None]), (11, [vec(5)])]
+    subs, asked = spark.createDataFrame(subs, "component_id long, vectors array<array<float>>"), spark.createDataFrame(asked, "qid long, vectors array<array<float>>")
+    pairs = subs.select("component_id").crossJoin(asked.select("qid"))
+    want = {(r.qid, r.component_id): r.m for r in graph.scores(pairs, subs, asked).collect()}
+    got = graph.all_scores(subs, asked, block=4).collect()
+    assert len(got) == len(want) and {(r.qid, r.component_id): str(r.m) for r in got} == {k: str(m) for k, m in want.items()}
+    sums = graph.all_totals(subs, asked, block=4).collect()
+    assert {(r.qid, r.component_id): str(round(r.score, 9)) for r in sums} == {k: str(-1.0 if None in m else round(sum(m), 9)) for k, m in want.items()}
+    ends = subs.select(F.col("component_id").alias("lo"), ((F.col("component_id") * 7) % 45).alias("hi"))
+    both = {(r.qid, r.lo, r.hi): str(r.score) for r in graph.all_pair_totals(ends, subs, asked, block=4).collect()}
+    m = spark.createDataFrame([(*k, v) for k, v in want.items()], "qid long, component_id long, m array<double>")
+    joined = ends.join(m.withColumnRenamed("component_id", "lo"), "lo").join(m.select("qid", F.col("component_id").alias("hi"), F.col("m").alias("mb")), ["qid", "hi"])
+    assert both == {(r.qid, r.lo, r.hi): str(r.score) for r in joined.select("qid", "lo", "hi", V.pair_total(F.col("m"), F.col("mb")).alias("score")).collect()}
+
+
+def test_no_score_of_all_pairs_is_shuffled_or_made_by_columns(spark):
+    for found in (queries.maxsim_single, queries.maxsim_pair):
+        plan = found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
