@@ -5,6 +5,7 @@ Instruction and demonstration texts are data, handed in as `Templates`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,27 +42,52 @@ def _first_links(table: Column) -> Column:
 
 
 def first_table_image(table: Column, existing: Column) -> Column:
-    """The first cell's first link that is in the array `existing`; null without one."""
-    return F.try_element_at(F.filter(_first_links(table), lambda x: F.coalesce(F.array_contains(existing, x), F.lit(False))), F.lit(1))
+    """The first cell's first link that is in the array `existing`; null without one. Cells are looked up by hash."""
+    return F.get(F.array_intersect(F.array_compact(_first_links(table)), existing), F.lit(0))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often the elements of an array need it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def table_block(title: Column, section: Column, table: Column, image: Column | None = None, number: Column | None = None) -> Column:
     """Cells by ` | `, a row a line. The first cell that begins its links with `image` (see `first_table_image`)
-    is marked as image `number`; no cell where either is null."""
-    if image is None or number is None:
-        at, tag = F.lit(0).cast("bigint"), F.lit("")
-    else:
-        at = F.coalesce(F.when(number.isNotNull(), F.array_position(_first_links(table), image)), F.lit(0).cast("bigint"))
-        tag = F.concat(F.lit("<Image "), F.coalesce(number.cast("string"), F.lit("")), F.lit(">, "))
+    is marked as image `number`; no cell where either is null. Work is in proportion to the cells."""
 
-    def cell(c: Column, place: Column) -> Column:
-        return F.regexp_replace(F.concat(F.when(place == at, tag).otherwise(""), without_links(c)), r"\s*,\s*", " , ")
+    def cell(c: Column) -> Column:
+        return F.regexp_replace(without_links(c), r"\s*,\s*", " , ")
 
-    def line(r: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(table, F.lit(1), i), F.lit(0), lambda n, x: n + F.size(x))
-        return F.concat(F.array_join(F.transform(r, lambda c, j: cell(c, before + j + 1)), " | "), F.lit("\n"))
+    def lines(rows: Column) -> Column:
+        return F.array_join(F.transform(rows, lambda r: F.concat(F.array_join(r, " | "), F.lit("\n"))), "")
 
-    return F.concat(_head("Table", title, section), F.array_join(F.transform(table, line), ""), F.lit("*/\n\n"))
+    def marked(x: Column) -> Column:
+        def line(r: Column, i: Column) -> Column:
+            marks = F.transform(r, lambda c, j: F.concat(F.when(j == x["place"]["cell"], x["tag"]).otherwise(""), c))
+            return F.when(i == x["place"]["row"], marks).otherwise(r)
+
+        return lines(F.transform(x["cells"], line))
+
+    cells = F.transform(table, lambda r: F.transform(r, cell))
+    if image is None or number is None:
+        body = lines(cells)
+    else:
+        wanted = F.when(number.isNotNull(), image)
+        begins = F.transform(table, lambda r: F.transform(r, lambda c: F.get(links(c), F.lit(0))))
+
+        def found(y: Column) -> Column:
+            row = F.array_position(F.transform(y["begins"], lambda r: F.coalesce(F.array_contains(r, y["wanted"]), F.lit(False))), F.lit(True)) - 1
+            return bound(F.struct(row.alias("row"), y["begins"].alias("begins"), y["wanted"].alias("wanted")), placed)
+
+        def placed(z: Column) -> Column:
+            at = F.array_position(F.get(z["begins"], z["row"].cast("int")), z["wanted"]) - 1
+            return F.struct(z["row"].alias("row"), at.alias("cell"))
+
+        # the image's own commas go apart as the cell's do
+        tag = F.regexp_replace(F.concat(F.lit("<Image "), F.coalesce(number.cast("string"), F.lit("")), F.lit(">, ")), r"\s*,\s*", " , ")
+        place = bound(F.struct(begins.alias("begins"), wanted.alias("wanted")), found)
+        body = bound(F.struct(cells.alias("cells"), place.alias("place"), tag.alias("tag")), marked)
+    return F.concat(_head("Table", title, section), body, F.lit("*/\n\n"))
 
 
 def image_block(title: Column, section: Column, caption: Column, number: Column) -> Column:

@@ -1,5 +1,8 @@
 """Text and vector functions against fixed examples."""
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +56,23 @@ def test_tables(spark):
     assert "Club | G\nReal Madrid | 2" in value(spark, prompts.table_block(F.lit("T"), F.array(F.lit("s")), F.col("t")), t=table)
 
 
+def test_table_blocks_take_time_in_proportion(spark):
+    table = [[f"a {i} , b", None if i % 7 == 0 else f"[[u{i}]]c,d[[v]]", "[[z]] "] for i in range(4000)]
+    table[10] = []
+    want = [[c and re.sub(r"\s*,\s*", " , ", re.sub(r"\[\[.*?\]\]", "", c).strip()) for c in r] for r in table]
+    want[3999][1] = "<Image 5> , " + want[3999][1]
+    began = time.time()
+    first = prompts.first_table_image(F.col("t"), F.col("there"))
+    rows = spark.createDataFrame([(table, [f"u{i}" for i in range(3999, 40000)], 5), (table, ["w"], 5), (table, ["z"], None)], "t array<array<string>>, there array<string>, n int")
+    made = rows.withColumn("first", first).select("first", prompts.table_block(F.lit("T"), F.array(F.lit("s")), F.col("t"), F.col("first"), F.col("n")).alias("b")).collect()
+    assert time.time() - began < 20
+    lines = lambda rows: "".join(" | ".join(c for c in r if c is not None) + "\n" for r in rows)
+    assert [r.first for r in made] == ["u3999", None, "z"]
+    assert made[0].b.split("\n\n", 1)[1] == lines(want) + "*/\n\n"
+    want[3999][1] = want[3999][1].removeprefix("<Image 5> , ")
+    assert all(r.b.split("\n\n", 1)[1] == lines(want) + "*/\n\n" for r in made[1:])
+
+
 @pytest.mark.parametrize("size,want", [((1024, 768), (591, 443)), ((512, 512), (512, 512)), ((300, 200), (300, 200))])
 def test_scaled_size(spark, size, want):
     assert tuple(spark.range(1).select(T.scaled_size(F.lit(size[0]), F.lit(size[1])).alias("v")).first().v) == want
