@@ -172,3 +172,47 @@ def test_no_score_of_all_pairs_is_shuffled_or_made_by_columns(spark):
     for found in (queries.maxsim_single, queries.maxsim_pair):
         plan = found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_the_k_best_of_many_small_tiles(spark):
+    import numpy as np
+
+    from graphloom.operators.knn import TILE, Best
+
+    rng = np.random.default_rng(5)
+    queries, rows = rng.normal(size=(300, 6)).round(1), rng.normal(size=(4000, 6)).round(1)
+    rows[1::3] = rows[0]  # equal vectors have equal scores
+    rows[7] = np.nan
+    rows[8] = np.inf
+    ids, want = rng.permutation(4000), V.products(queries, rows)
+    for k, sign in ((5, 1), (700, -1)):
+        best = Best(queries, k, sign)
+        for at in range(0, 4000, 400):
+            best.add(ids[at : at + 400], rows[at : at + 400])
+            assert best.waiting < max(TILE, 300 * k)
+        best.settle()
+        for q in range(300):
+            key = [(not np.isnan(s), -s, sign * i) if s == s else (False, 0, sign * i) for s, i in zip(want[q], ids)]
+            assert best.ids[best.rows == q].tolist() == [ids[j] for j in sorted(range(4000), key=key.__getitem__)[:k]]
+
+
+def test_a_task_scores_no_large_batch_at_once(spark):
+    import resource
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    vector = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.rand(3) * i)
+    rows = spark.range(20_000, numPartitions=1).select(F.col("id").alias("component_id"), vector.alias("embedding"))
+    asked = rows.limit(2048).withColumnRenamed("component_id", "qid")
+
+    def most(batches):
+        for pdf in batches:
+            yield pdf.assign(m=resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
+
+    workers = spark.range(16, numPartitions=16).mapInPandas(most, "id long, m double").agg(F.max("m"))
+    before = workers.first()[0]
+    from graphloom.operators.knn import dense_topk
+
+    assert dense_topk(asked, rows, 9).count() == 2048 * 9
+    after = workers.first()[0]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert after - before < 350, (before, after)  # MB; all products of a batch are 164
