@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import materialise, new_folder, shared_dir, table
+from ..tables import give_back, materialise, new_folder, shared_dir, small_batches, table
 
-__all__ = ["materialise", "new_folder", "shared_dir", "table"]
+__all__ = ["give_back", "materialise", "new_folder", "shared_dir", "small_batches", "table"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -30,30 +28,11 @@ def held(owner: Any, make: Callable[[], Any]) -> Any:
     return _HELD[owner]
 
 
-def give_back() -> None:
-    """Returns the memory that a Python worker has freed to the system, as the worker lives on beside the JVM and
-    other workers. Allocators keep it otherwise."""
-    import pyarrow
-
-    gc.collect()
-    pyarrow.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-    if trim:
-        trim(0)
-
-
 def utf8(column: str) -> Column:
     """The text's UTF-8 bytes; null is empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Batches handed to Python hold at most `rows` rows, so that long texts fit; results don't depend on it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, str(rows))
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores added until `df` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -1,7 +1,9 @@
-"""Reading tables, and intermediate tables in the folder that the cluster shares."""
+"""Reading tables, intermediate tables in the folder that the cluster shares, and the memory of Python workers."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -36,3 +38,22 @@ def materialise(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def give_back() -> None:
+    """Returns the memory that a Python worker has freed to the system, as the worker lives on beside the JVM and
+    other workers. Allocators keep it otherwise."""
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches handed to Python hold at most `rows` rows, so that long texts fit; results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))

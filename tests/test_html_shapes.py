@@ -73,3 +73,19 @@ def test_paths_by_a_fold_match_a_loop(spark):
             else:
                 path = [*path[: level - 2], title]
         assert got[i] == want
+
+
+def test_a_task_holds_the_elements_of_few_pages(spark):
+    import resource
+
+    def most(batches):
+        for pdf in batches:
+            yield pdf.assign(m=resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
+
+    workers = spark.range(16, numPartitions=16).mapInPandas(most, "id long, m double").agg(F.max("m"))
+    page = "<body><section>" + "<p>a <a href='./B'>b</a> c</p>" * 100 + "</section></body>"
+    before = workers.first()[0]
+    pages = spark.range(10_000, numPartitions=1).select(F.col("id").alias("page_id"), F.lit(page).alias("html"))
+    assert html.page_components(pages).groupBy("error").count().collect()[0]["count"] == 1_000_000
+    after = workers.first()[0]
+    assert after - before < 350, (before, after)  # MB
