@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable, Iterable
 from typing import Any
 
@@ -18,6 +19,10 @@ import numpy as np
 from .common import held
 
 
+#: Where a chunk begins; and a space that begins none.
+_BEFORE_WORD, _INNER_SPACE = re.compile(r"(?= \S)"), re.compile(r" (?!\S)")
+
+
 def id_bytes(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers; `ends` are the places of the separators."""
     raw, cuts = ids.astype("<u4").tobytes(), (ends * 4).tolist()
@@ -127,13 +132,6 @@ def space_chunks(text: str, special: Iterable[str] = ()) -> list[str]:
     string is one chunk, as special strings are found before the pattern is applied."""
     if any(s in text for s in special):
         return [text]
-    parts = text.split(" ")
-    out, now = [], parts[0]
-    for p in parts[1:]:
-        if not p or p[0].isspace():
-            now += " " + p
-        else:
-            out.append(now)
-            now = " " + p
-    out.append(now)
-    return out
+    if "\0" in text or _INNER_SPACE.search(text):
+        return _BEFORE_WORD.split(text)
+    return text.replace(" ", "\0 ").split("\0")  # every space begins a chunk

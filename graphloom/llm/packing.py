@@ -24,7 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunk_tokens import id_bytes, shared_store, space_chunks
-from .common import materialise, small_batches
+from .common import give_back, materialise, small_batches
+
+#: Texts whose chunks are held at once.
+SLICE = 250
 
 Pattern = tuple[int, list[tuple[int, int]]]  # repetitions, (length, how many in a bin)
 
@@ -82,20 +85,23 @@ def token_pieces(
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store = shared_store(vocabulary, id_bytes)
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for pdf in batches:
-            chunks = [space_chunks(t, store.special) for t in pdf["_text"]]
-            rows = []
-            for doc, parts in zip(pdf["_id"], store.lookup(chunks, str)):
-                ids = b"".join(parts) + end
-                n = len(ids) // 4
-                cuts = [0, *range(n % capacity or capacity, n, capacity), n] if n > capacity else [0, n]
-                for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    own = ids[4 * a : 4 * b]
-                    rows.append((doc, i, a, b - a, zlib.crc32(own), part, seen[b - a], *([np.frombuffer(own, "<u4").tolist()] if with_ids else [])))
-                    seen[b - a] += 1
-            out = pd.DataFrame(rows, columns=["_id", "piece", "start", "length", "ids_crc32", "_part", "_rank", *["ids"] * with_ids])
-            out["_id"] = out["_id"].astype(pdf["_id"].dtype)
-            yield out
+        for whole in batches:
+            for at in range(0, len(whole), SLICE):
+                pdf = whole.iloc[at : at + SLICE]
+                chunks = [space_chunks(t, store.special) for t in pdf["_text"]]
+                rows = []
+                for doc, parts in zip(pdf["_id"], store.lookup(chunks, str)):
+                    ids = b"".join(parts) + end
+                    n = len(ids) // 4
+                    cuts = [0, *range(n % capacity or capacity, n, capacity), n] if n > capacity else [0, n]
+                    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                        own = ids[4 * a : 4 * b]
+                        rows.append((doc, i, a, b - a, zlib.crc32(own), part, seen[b - a], *([np.frombuffer(own, "<u4").tolist()] if with_ids else [])))
+                        seen[b - a] += 1
+                out = pd.DataFrame(rows, columns=["_id", "piece", "start", "length", "ids_crc32", "_part", "_rank", *["ids"] * with_ids])
+                out["_id"] = out["_id"].astype(pdf["_id"].dtype)
+                yield out
+        give_back()
 
     return slim.mapInPandas(cut, f"_id {kind}, piece int, start long, length long, ids_crc32 long, _part int, _rank long" + ", ids array<long>" * with_ids)
 
