@@ -19,15 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_tokens import id_bytes, shared_store, space_chunks
+from .chunk_tokens import byte_chunks, chunk_ids, id_bytes, shared_store
 from .common import give_back, materialise, small_batches
 
-#: Texts whose chunks are held at once.
-SLICE = 250
+#: Bytes of text whose chunks are held at once.
+SLICE = 1 << 22
 
 Pattern = tuple[int, list[tuple[int, int]]]  # repetitions, (length, how many in a bin)
 
@@ -82,28 +84,40 @@ def token_pieces(
     kind = slim.schema["_id"].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = shared_store(vocabulary, id_bytes)
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for whole in batches:
-            for at in range(0, len(whole), SLICE):
-                pdf = whole.iloc[at : at + SLICE]
-                chunks = [space_chunks(t, store.special) for t in pdf["_text"]]
-                rows = []
-                for doc, parts in zip(pdf["_id"], store.lookup(chunks, str)):
-                    ids = b"".join(parts) + end
-                    n = len(ids) // 4
+            for batch in _slices(whole):
+                chunks, firsts = byte_chunks(batch.column(1), store.special)
+                ids, begins = chunk_ids(store, chunks)
+                raw, bounds, rows = memoryview(ids.tobytes()), begins[firsts].tolist(), []
+                for doc, (first, last) in enumerate(zip(bounds, bounds[1:])):
+                    n = last - first + 1
                     cuts = [0, *range(n % capacity or capacity, n, capacity), n] if n > capacity else [0, n]
                     for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                        own = ids[4 * a : 4 * b]
-                        rows.append((doc, i, a, b - a, zlib.crc32(own), part, seen[b - a], *([np.frombuffer(own, "<u4").tolist()] if with_ids else [])))
+                        own = raw[4 * (first + a) : 4 * min(first + b, last)]
+                        crc = zlib.crc32(end, zlib.crc32(own)) if b == n else zlib.crc32(own)
+                        rows.append((doc, i, a, b - a, crc, part, seen[b - a], *([np.frombuffer(bytes(own) + end * (b == n), "<u4").tolist()] if with_ids else [])))
                         seen[b - a] += 1
-                out = pd.DataFrame(rows, columns=["_id", "piece", "start", "length", "ids_crc32", "_part", "_rank", *["ids"] * with_ids])
-                out["_id"] = out["_id"].astype(pdf["_id"].dtype)
-                yield out
+                docs_of, *columns = zip(*rows)
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+                names = ["_id", "piece", "start", "length", "ids_crc32", "_part", "_rank", *["ids"] * with_ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs_of)), *map(pa.array, columns, types)], names)
         give_back()
 
-    return slim.mapInPandas(cut, f"_id {kind}, piece int, start long, length long, ids_crc32 long, _part int, _rank long" + ", ids array<long>" * with_ids)
+    return slim.mapInArrow(cut, f"_id {kind}, piece int, start long, length long, ids_crc32 long, _part int, _rank long" + ", ids array<long>" * with_ids)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch's rows, some at a time: up to SLICE bytes of text, or one longer text."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        held = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, held + SLICE, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def pack(

@@ -8,12 +8,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm import queries
-from graphloom.llm.chunk_tokens import ChunkStore, id_bytes, id_counts, space_chunks
+from graphloom.llm import packing, queries
+from graphloom.llm.chunk_tokens import ChunkStore, byte_chunks, chunk_ids, id_bytes, id_counts, space_chunks
 from graphloom.llm.components import connected_components
 from graphloom.llm.decontamination import contamination_digest, find_contamination, without_contaminated
 from graphloom.llm.exact_dedup import exact_dedup
@@ -108,6 +109,55 @@ def test_chunks_have_the_tokens_of_the_whole_text():
         assert counter.longest_prefix(t, sums, 3) == max(p for p, n in enumerate(each) if n <= 3)
 
 
+def test_chunks_of_many_texts_have_their_tokens():
+    rnd = random.Random(41)
+    parts = [*"abZé19.,'-\n\n\t\r   ×÷ªſŉ²", "the", "Über", "'s", "'t", "'LL", "don't", " \u00a0", "\x1c", "\x85", "\u0301", "\u1680", "\u180e", "\u2003", "\u2028", "\u200b", "\u3000", "“", "—", "中", "ж", "😀", "\0"]
+    parts += ["<|endoftext|>", "<|", "".join(map(chr, range(0xC0, 0x180)))]
+    whole, store = Tokenizer.from_file(BYTES), ChunkStore(BYTES, id_bytes, limit=50)
+    for _ in range(300):
+        texts = ["".join(rnd.choice(parts[: rnd.choice([9, 30, 99])]) for _ in range(rnd.randint(0, 14))) for _ in range(rnd.randint(0, 12))]
+        chunks, firsts = byte_chunks(pa.array(["left out", *texts], pa.string())[1:], store.special)
+        ids, begins = chunk_ids(store, chunks)
+        got = [ids[a:b].tolist() for a, b in zip(begins[firsts], begins[firsts[1:]])]
+        assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts], texts
+
+
+def test_new_words_are_encoded_once_and_without_the_pattern():
+    rnd = random.Random(42)
+    words = ["".join(rnd.choice("aeioußénrst") for _ in range(9)) for _ in range(500)]
+    texts = [f"{rnd.choice('AB')} {w}. {w}, {w}\n{w}!! {w}" for w in words]
+    store, told, patterned = ChunkStore(BYTES, id_bytes), [], []
+    encode, others = store.encode, store._others
+    store.encode = lambda texts: told.extend(texts) or encode(texts)
+    store._others = lambda texts: patterned.extend(texts) or others(texts)
+    chunks, firsts = byte_chunks(pa.array(texts), store.special)
+    ids, begins = chunk_ids(store, chunks)
+    assert len(told) == len(set(told)) <= 2 * len(set(words)) + 10 and len(patterned) <= 5, (len(told), patterned)
+    whole = Tokenizer.from_file(BYTES)
+    assert [ids[a:b].tolist() for a, b in zip(begins[firsts], begins[firsts[1:]])] == [whole.encode(t).ids for t in texts]
+
+
+def test_batches_are_cut_into_slices_by_bytes(monkeypatch):
+    texts = ["", "a b", "x. " * 90, " ", "<|endoftext|> a", "é", ""] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(21)), pa.array(texts)], ["_id", "_text"])
+    for size in (1, 5, 300, 1 << 22):
+        monkeypatch.setattr(packing, "SLICE", size)
+        slices = [s.column(1).to_pylist() for s in packing._slices(batch)]
+        assert [t for s in slices for t in s] == texts and all(len(s) == 1 or sum(len(t.encode()) for t in s) <= size for s in slices)
+    assert len(slices) == 1 and list(packing._slices(batch.slice(0, 0))) == []
+
+
+def test_packing_keeps_ids_of_any_type(spark):
+    texts = [None, "", "a b", "x. " * 90, " ", "<|endoftext|> a"]
+    docs = spark.createDataFrame([(f"d{i}" if i else None, t) for i, t in enumerate(texts)], "doc_id string, text string")
+    rows = pack(docs, BYTES, capacity=64).collect()
+    whole = Tokenizer.from_file(BYTES)
+    got = Counter()
+    for r in rows:
+        got[r.doc_id] += r.length
+    assert got == {f"d{i}" if i else None: len(whole.encode(t or "").ids) + 1 for i, t in enumerate(texts)}
+
+
 def test_token_counts_of_a_text_without_white_space(spark):
     row = token_counts(spark.createDataFrame([(1, "ab" * 5000)], "doc_id long, text string"), WORDS, limit=50).first()
     words = Tokenizer.from_file(WORDS)
