@@ -1,6 +1,7 @@
 """Beam search against a small sequential model, and the derived graph's known results."""
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from graphloom.config import Retrieval
 from graphloom.functions import vectors as V
 from graphloom.operators import graph, html
 from graphloom.plans import queries
+from graphloom.tables import materialise
 
 
 def model(beam, edges, m, size, eps=1e-5):
@@ -174,6 +176,35 @@ def test_no_score_of_all_pairs_is_shuffled_or_made_by_columns(spark):
         assert "MapInArrow" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
 
 
+def _score_bytes(path):
+    import pyarrow.parquet as pq
+
+    files = [pq.ParquetFile(f).metadata for f in Path(path).glob("*.parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    columns = [g.column(i) for g in groups for i in range(g.num_columns)]
+    return len([m for m in files if m.num_rows]), sum(c.total_compressed_size for c in columns) / sum(g.num_rows for g in groups)
+
+
+def _many(spark):
+    vectors = F.transform(F.sequence(F.lit(1), F.lit(2)), lambda i: F.array(F.rand(3) / 3, (F.rand(4) - F.rand(5)) / 3, F.rand(6) / 3))
+    rows = materialise(spark.range(8_000, numPartitions=1).select(F.col("id").alias("component_id"), vectors.alias("vectors")))
+    return rows, rows.where("component_id % 8 = 0").select(F.col("component_id").alias("qid"), "vectors")
+
+
+def test_pair_scores_take_less_room_in_files_and_are_dealt(spark, tmp_path):
+    rows, asked = _many(spark)
+    ends = rows.select(F.col("component_id").alias("lo"), ((F.col("component_id") + 1) % 8_000).alias("hi"))
+    size = {}
+    for digits in (None, 6):
+        found = graph.all_pair_totals(ends, rows, asked, digits=digits).withColumn("score", F.round("score", 6))
+        found.write.parquet(f"{tmp_path}/{digits}")
+        files, size[digits] = _score_bytes(f"{tmp_path}/{digits}")
+        assert files == 4
+    assert size[6] < 0.85 * size[None], size
+    a, b = (spark.read.parquet(f"{tmp_path}/{d}") for d in size)
+    assert a.count() == b.count() == 8_000_000 and not a.exceptAll(b).take(1)
+
+
 def test_the_k_best_of_many_small_tiles(spark):
     import numpy as np
 
