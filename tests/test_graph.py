@@ -205,6 +205,16 @@ def test_pair_scores_take_less_room_in_files_and_are_dealt(spark, tmp_path):
     assert a.count() == b.count() == 8_000_000 and not a.exceptAll(b).take(1)
 
 
+def test_single_scores_take_less_room_in_files_and_are_dealt(spark, tmp_path):
+    rows, asked = _many(spark)
+    size = {}
+    for digits in (None, 6):
+        graph.all_totals(rows, asked, digits=digits).withColumn("score", F.round("score", 6)).write.parquet(f"{tmp_path}/{digits}")
+        files, size[digits] = _score_bytes(f"{tmp_path}/{digits}")
+        assert files == 4
+    assert size[6] < 0.7 * size[None], size
+
+
 def test_the_k_best_of_many_small_tiles(spark):
     import numpy as np
 
